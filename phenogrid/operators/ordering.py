@@ -1,31 +1,26 @@
 """Exact order statistics of groups of any size.
 
-A plain window over a group would sort the whole group in one task. Here equal values are
-first merged into one row with a count, values are put in buckets that follow their order,
-and running counts are kept in two steps: over the few buckets, then inside each bucket.
-No task sees more than one bucket of one group.
+A plain window over a group would sort the whole group in one task. Here values are put in
+buckets that follow their order, equal values are merged into one row with a count, and running
+counts are kept in two steps: over the few buckets, then inside each bucket. No task sorts more
+than one bucket of one group. Quantiles look only into the buckets that hold a wanted rank.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null
+from ..plans.staging import stage
 
-_FINE = 4096  # buckets per power of two
+_FINE = 256  # buckets per power of two
 
 
 def value_bucket(v: Column) -> Column:
-    """Integer that never falls as ``v`` rises: power of two plus position inside it."""
-    size = F.abs(v)
-    power = F.floor(F.log2(size))
-    place = F.floor((size / F.pow(F.lit(2.0), power) - 1) * _FINE)
-    index = (power + 1100) * _FINE + place
-    index = F.when(F.isnan(place) | (size == math.inf), F.lit(1 << 40)).otherwise(index)
-    return F.when(v == 0, F.lit(0)).when(v > 0, index).otherwise(-index).cast("long")
+    """Integer that never falls as ``v`` rises: a step of the logarithm, mirrored below zero."""
+    step = F.floor(F.least(F.log2(F.abs(v)), F.lit(1025.0)) * _FINE) + 1100 * _FINE
+    return F.coalesce(F.signum(v) * step, F.lit(0.0)).cast("long")
 
 
 def group_key(by: list[str] | tuple[str, ...]) -> Column:
@@ -33,55 +28,93 @@ def group_key(by: list[str] | tuple[str, ...]) -> Column:
     return F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
 
 
+def _bucketed(df: DataFrame, by: list[str] | tuple[str, ...], value: str) -> DataFrame:
+    rows = df.select(group_key(by).alias("_key"), finite_or_null(value).alias("_v"))
+    return rows.where(F.col("_v").isNotNull()).withColumn("_b", value_bucket(F.col("_v")))
+
+
+def _bucket_starts(rows: DataFrame) -> DataFrame:
+    """Rows before each bucket, in it (``bw``), and in the whole group. Counted map-side, so the
+    shuffle carries one row per task and bucket."""
+    across = Window.partitionBy("_key")
+    counts = rows.groupBy("_key", "_b").agg(F.count("*").alias("bw"))
+    return counts.select(
+        "_key",
+        "_b",
+        "bw",
+        (F.sum("bw").over(across.orderBy("_b")) - F.col("bw")).alias("_before"),
+        F.sum("bw").over(across).alias("total"),
+    )
+
+
+def _with_running_count(rows: DataFrame, starts: DataFrame, carry: list[str]) -> DataFrame:
+    merged = rows.groupBy("_key", "_b", "_v").agg(F.count("*").alias("w"))
+    inside = Window.partitionBy("_key", "_b").orderBy("_v")
+    joined = merged.join(starts.select("_key", "_b", "_before", *carry), ["_key", "_b"])
+    return joined.withColumn("upto", F.col("_before") + F.sum("w").over(inside)).drop("_before")
+
+
 def running_counts(df: DataFrame, by: list[str] | tuple[str, ...], value: str) -> DataFrame:
     """One row per group and distinct value: ``_key, _v, _b, w, upto, total``.
 
     ``w`` rows hold the value, ``upto`` rows hold it or a smaller one, ``total`` rows are in
     the group. Missing values are left out.
     """
-    merged = (
-        df.select(group_key(by).alias("_key"), finite_or_null(value).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy("_key", "_v")
-        .agg(F.count("*").alias("w"))
-        .withColumn("_b", value_bucket(F.col("_v")))
-    )
-    across = Window.partitionBy("_key")
-    starts = (
-        merged.groupBy("_key", "_b")
-        .agg(F.sum("w").alias("bw"))
-        .select(
-            "_key",
-            "_b",
-            (F.sum("bw").over(across.orderBy("_b")) - F.col("bw")).alias("_before"),
-            F.sum("bw").over(across).alias("total"),
+    rows = _bucketed(df, by, value)
+    return _with_running_count(rows, _bucket_starts(rows), ["total"])
+
+
+def quantile_points(
+    df: DataFrame, by: list[str] | tuple[str, ...], value: str, probs: list[float]
+) -> DataFrame:
+    """Exact quantiles with linear interpolation between neighbours, as rows ``_key, n, i, q``
+    with ``i`` the place in ``probs``.
+
+    The first scan counts buckets. The second keeps only the rows of buckets that hold a wanted
+    rank (a broadcast filter while those buckets are few), so little is shuffled or sorted.
+    """
+    rows = _bucketed(df, by, value)
+    place = (F.col("total") - 1).cast("double")
+
+    def goal(p: Column, i: Column) -> Column:
+        at = place * p
+        return F.struct(
+            i.alias("i"), (F.floor(at) + 1).alias("lo"), (F.ceil(at) + 1).alias("hi"), (at - F.floor(at)).alias("part")
         )
+
+    def within(rank: Column, before: Column, size: Column) -> Column:
+        return (rank > before) & (rank <= before + size)
+
+    goals = F.transform(F.lit([float(p) for p in probs]), goal)
+    near = lambda before, size: lambda g: within(g["lo"], before, size) | within(g["hi"], before, size)
+    wanted = (
+        _bucket_starts(rows)
+        .withColumn("goals", F.filter(goals, near(F.col("_before"), F.col("bw"))))
+        .where(F.size("goals") > 0)
+        .drop("bw")
     )
-    inside = Window.partitionBy("_key", "_b").orderBy("_v")
-    return (
-        merged.join(starts, ["_key", "_b"])
-        .withColumn("upto", F.col("_before") + F.sum("w").over(inside))
-        .drop("_before")
+    wanted = stage(wanted)
+    kept = rows.join(wanted.select("_key", "_b"), ["_key", "_b"], "left_semi")
+    counted = _with_running_count(kept, wanted, ["total", "goals"])
+    before = F.col("upto") - F.col("w")
+    hits = counted.select(
+        "_key", "_v", "total", "w", before.alias("before"),
+        F.explode(F.filter("goals", near(before, F.col("w")))).alias("g"),
+    )
+    ends = hits.groupBy("_key", F.col("g.i").alias("i")).agg(
+        F.max("total").alias("n"),
+        F.max(F.when(within(F.col("g.lo"), F.col("before"), F.col("w")), F.col("_v"))).alias("lo"),
+        F.max(F.when(within(F.col("g.hi"), F.col("before"), F.col("w")), F.col("_v"))).alias("hi"),
+        F.max("g.part").alias("part"),
     )
+    return ends.select("_key", "n", "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
 
 
 def group_quantiles(
-    df: DataFrame,
-    by: list[str] | tuple[str, ...],
-    value: str,
-    probs: dict[str, float],
+    df: DataFrame, by: list[str] | tuple[str, ...], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation between neighbours, one column per name."""
-    counts = running_counts(df, by, value)
-    first, last = F.col("upto") - F.col("w") + 1, F.col("upto")
-    picks, outs = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        place = (F.col("total") - 1) * F.lit(float(p)) + 1
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = (first <= rank) & (rank <= last)
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-        part = (F.col("_n") - 1) * F.lit(float(p)) + 1
-        part = part - F.floor(part)
-        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(name))
-    found = counts.groupBy("_key").agg(F.max("total").alias("_n"), *picks)
-    return found.select(*[F.col("_key")[c].alias(c) for c in by], F.col("_n").alias("n"), *outs)
+    """Exact quantiles, one column per name, beside the count ``n``."""
+    points = quantile_points(df, by, value, list(probs.values()))
+    named = [F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(probs)]
+    wide = points.groupBy("_key").agg(F.max("n").alias("n"), *named)
+    return wide.select(*[F.col("_key")[c].alias(c) for c in by], "n", *probs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null
 from ..plans.staging import attach
-from .ordering import group_quantiles
+from .ordering import group_quantiles, quantile_points
 
 
 def standard_error(value: str | Column) -> Column:
@@ -145,16 +145,15 @@ def qq_points(df: DataFrame, value: str, points: int = 99, by: tuple[str, ...] =
 
     The grid keeps the result small whatever the group size.
     """
-    probs = {f"_p{i}": (i - 0.5) / points for i in range(1, points + 1)}
-    found = group_quantiles(df, by, value, probs)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("point"), F.lit(NormalDist().inv_cdf(p)).alias("theoretical"),
-                     F.col(f"_p{i}").alias("sample_quantile"))
-            for i, p in enumerate(probs.values(), start=1)
-        ]
+    probs = [(i - 0.5) / points for i in range(1, points + 1)]
+    normal = F.lit([NormalDist().inv_cdf(p) for p in probs])
+    found = quantile_points(df, by, value, probs)
+    return found.select(
+        *[F.col("_key")[c].alias(c) for c in by],
+        (F.col("i") + 1).alias("point"),
+        F.element_at(normal, (F.col("i") + 1).cast("int")).alias("theoretical"),
+        F.col("q").alias("sample_quantile"),
     )
-    return found.select(*by, F.inline(pairs))
 
 
 def error_bars(df: DataFrame, mean: str = "mean", se: str = "se") -> DataFrame:

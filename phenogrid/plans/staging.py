@@ -18,9 +18,10 @@ _local_folders: dict[str, str] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str | None:
-    """Folder for staged tables: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    """Folder for staged tables: the session's checkpoint folder, or, in local mode without
+    one, a temporary folder."""
     app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/phenogrid-{app}"
     if not spark.sparkContext.master.startswith("local"):
