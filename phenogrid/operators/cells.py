@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null
+
+
+def with_values(df: DataFrame, required: list[str], value: str) -> DataFrame:
+    """Rows with a number and all required columns; the NULL checks reach the file scan."""
+    kept = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for c in required:
+        kept = kept & F.col(c).isNotNull()
+    return df.where(kept)
 
 
 def cell_stats(
@@ -16,8 +23,7 @@ def cell_stats(
     Rows without a value or a factor level take no part. The moments are merged map-side, so
     what is shuffled is one small row per task and cell, however many rows a cell has.
     """
-    v = finite_or_null(value)
-    rows = df.select(*keys, *factors, v.alias("_v")).dropna("any", subset=["_v", *factors])
+    rows = with_values(df, [*factors], value).select(*keys, *factors, F.col(value).cast("double").alias("_v"))
     return (
         rows.groupBy(*keys, *factors)
         .agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.var_pop("_v").alias("_var"))

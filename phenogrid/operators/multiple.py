@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null
-from ..plans.staging import attach
+from ..plans.staging import attach, stage
 from .ordering import group_key, running_counts
 
 
@@ -22,15 +22,18 @@ def p_adjust(
 
     ``n`` overrides the number of tests. Equal p-values get equal results. A family of any
     size is ranked in order-preserving buckets, with running extrema carried between them.
+    The table of p-values is staged first: it is needed several times, and the tests behind it
+    should run once.
     """
+    if method not in ("holm", "fdr", "bonferroni"):
+        raise ValueError(f"unknown method: {method}")
+    if method == "bonferroni" and n is not None:
+        return df.withColumn(out, F.least(F.lit(1.0), finite_or_null(p) * n))
+    df = stage(df)
     if method == "bonferroni":
-        if n is not None:
-            return df.withColumn(out, F.least(F.lit(1.0), finite_or_null(p) * n))
         sizes = df.groupBy(*within).agg(F.count(finite_or_null(p)).alias("_m"))
         sized = attach(df, sizes, list(within))
         return sized.withColumn(out, F.least(F.lit(1.0), finite_or_null(p) * F.col("_m"))).drop("_m")
-    if method not in ("holm", "fdr"):
-        raise ValueError(f"unknown method: {method}")
 
     ranked = running_counts(df, within, p)
     tests = F.col("total") if n is None else F.lit(n)

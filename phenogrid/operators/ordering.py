@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null
 from ..plans.staging import stage
+from .cells import with_values
 
 _FINE = 256  # buckets per power of two
 
@@ -29,8 +29,10 @@ def group_key(by: list[str] | tuple[str, ...]) -> Column:
 
 
 def _bucketed(df: DataFrame, by: list[str] | tuple[str, ...], value: str) -> DataFrame:
-    rows = df.select(group_key(by).alias("_key"), finite_or_null(value).alias("_v"))
-    return rows.where(F.col("_v").isNotNull()).withColumn("_b", value_bucket(F.col("_v")))
+    rows = with_values(df, [], value).select(
+        group_key(by).alias("_key"), F.col(value).cast("double").alias("_v")
+    )
+    return rows.withColumn("_b", value_bucket(F.col("_v")))
 
 
 def _bucket_starts(rows: DataFrame) -> DataFrame:

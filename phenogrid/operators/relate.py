@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .clean import parse_sample_id
 
 
@@ -29,9 +30,11 @@ def level_pairs(
 ) -> DataFrame:
     """All pairs of levels within a group, first level before second by ``order``.
 
-    Works on aggregated cells (one row per level), never on measurement rows. The result
+    Works on aggregated cells (one row per level), never on measurement rows; the cells are
+    staged, so the measurements behind them are scanned once and not once per side. The result
     holds ``{level}_1``, ``{level}_2`` and ``{c}_1``, ``{c}_2`` for each carried column.
     """
+    cells = stage(cells)
     cols = list(dict.fromkeys([level, order, *carry]))
     first = cells.select(*group, *[F.col(c).alias(f"{c}_1") for c in cols])
     second = cells.select(
