@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anova, multiple, regression, reshape, summarize
 from ..sources import read_measurements
 from .registry import CU, EV, LI, PA, Data, query, rnd, rounded, t_tail_sql
+from .tukey_sql import normal_quantiles_sql
 
 
 @query("a1_group_mean", f"WITH {LI} SELECT feature, a, round(avg(value), 4) AS mean FROM li GROUP BY 1, 2")
@@ -131,9 +132,14 @@ def a12(d: Data):
     return rounded(points.select("feature", "point", "sample_quantile"), "sample_quantile", digits=4)
 
 
-@query("a12_qq_points_normal")
+@query(
+    "a12_qq_points_normal",
+    f"""WITH {LI}, {normal_quantiles_sql(99)}, q AS (SELECT quantile_cont(value, [{', '.join(str((i - 0.5) / 99) for i in range(1, 100))}]) AS v FROM li)
+ SELECT point, round(theoretical, 6) AS theoretical, round(v[point], 4) AS sample_quantile FROM normal, q""",
+)
 def a12n(d: Data):
-    return summarize.qq_points(d.li(), "value", 99)
+    points = summarize.qq_points(d.li(), "value", 99)
+    return points.select("point", rnd("theoretical").alias("theoretical"), rnd("sample_quantile", 4).alias("sample_quantile"))
 
 
 @query(

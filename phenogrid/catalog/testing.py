@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tails import f_tail, t_tail, tukey_tail
+from ..functions.tails import f_tail, t_tail, tukey_critical, tukey_tail
 from ..operators import anova, baseline, cells, posthoc
 from .registry import CONTROL, EV, LI, TIMES, TREATMENTS, Data, query, rnd, rounded, t_tail_sql
+from .tukey_sql import tukey_p_sql
 
 _YEARS = list(range(1995, 2002))
 
@@ -92,9 +93,43 @@ def t2w(d: Data):
     return wide.select("feature", "fStatEx", "fStatWt", "fStatInt")
 
 
-@query("t3_anova_threeway")
+def _threeway_sql() -> str:
+    """Sequential fit of a x b x time on cell means: coded columns made orthogonal one by one,
+    each step a query over the last, with cell counts as weights."""
+    code = {"a": ["(a = 'SED')::INT"], "b": ["(b = 'ER')::INT"], "time": ["(time = 'D21')::INT", "(time = 'D7')::INT"]}
+    terms = ["a", "b", "time", "a:b", "a:time", "b:time", "a:b:time"]
+    columns = [("", "1.0")]
+    for term in terms:
+        products = [""]
+        for factor in term.split(":"):
+            products = [f"{p}{' * ' if p else ''}{c}" for p in products for c in code[factor]]
+        columns += [(term, f"1.0 * {p}") for p in products]
+    steps, last = [], "x"
+    for i, (_, expr) in enumerate(columns):
+        less = "".join(f" - q{h} * sum(n * q{h} * ({expr})) OVER w / sum(n * q{h} * q{h}) OVER w" for h in range(i))
+        steps.append(f"z{i} AS (SELECT *, {expr}{less} AS q{i} FROM {last} WINDOW w AS (PARTITION BY feature))")
+        last = f"z{i}"
+    shares = ", ".join(f"sum(n * q{i} * m) ^ 2 / sum(n * q{i} * q{i}) AS s{i}" for i in range(1, len(columns)))
+    lines = " UNION ALL ".join(
+        f"SELECT feature, '{t}' AS term, {sum(c == t for c, _ in columns)} AS df, df2, "
+        f"({' + '.join(f's{i}' for i, (c, _) in enumerate(columns) if c == t)}) AS ss, rss FROM parts"
+        for t in terms
+    )
+    return f"""{EV}, raw AS (SELECT feature, a, b, time, count(value) AS n, avg(value) AS m0, var_pop(value) * count(value) AS m2 FROM ev GROUP BY 1, 2, 3, 4),
+ x AS (SELECT *, m0 - sum(n * m0) OVER w / sum(n) OVER w AS m FROM raw WINDOW w AS (PARTITION BY feature)), {', '.join(steps)},
+ parts AS (SELECT feature, {shares}, sum(m2) AS rss, sum(n) - count(*) AS df2 FROM {last} GROUP BY 1),
+ lines AS ({lines}), terms AS (SELECT *, ss / df / (rss / df2) AS f FROM lines)"""
+
+
+@query(
+    "t3_anova_threeway",
+    f"""WITH {_threeway_sql()}, s1 AS (SELECT feature, term, sqrt(f) AS t, df2 AS df FROM terms WHERE df = 1), {t_tail_sql('s1', 'feature, term')}
+ SELECT feature, term, df::BIGINT AS df, df2::BIGINT AS df_resid, round(ss, 4) AS ss, round(f, 5) AS f,
+ round(CASE WHEN df = 1 THEN p ELSE {_F2} END, 6) AS p FROM terms LEFT JOIN tails USING (feature, term)""",
+)
 def t3(d: Data):
-    return anova.anova_factorial(d.ev(), "feature", "value", ["a", "b", "time"])
+    out = anova.anova_factorial(d.ev(), "feature", "value", ["a", "b", "time"])
+    return out.select("feature", "term", "df", "df_resid", rnd("ss", 4).alias("ss"), rnd("f", 5).alias("f"), rnd("p").alias("p"))
 
 
 @query(
@@ -143,8 +178,19 @@ def t5(d: Data):
     return out.select("feature", "contrast", rnd("diff", 4).alias("diff"), rnd("se", 5).alias("se"), "k", "df")
 
 
-@query("t5_tukey_oneway_p")
+@query(
+    "t5_tukey_oneway_p",
+    f"""WITH {LI}, {_oneway_sql('li', 'feature', 'a')}, pairs AS (SELECT x.feature, y.lev || '-' || x.lev AS contrast, k, df2 AS df,
+ abs(x.m - y.m) / sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)) AS q FROM c x {_PAIR}), {tukey_p_sql('pairs', 'feature, contrast', [3])}
+ SELECT feature, contrast, round(p, 5) AS p_adj FROM tukey""",
+)
 def t5p(d: Data):
+    out = posthoc.tukey_hsd(d.li(), "feature", "value", ["a"])
+    return out.select("feature", "contrast", rnd("p_adj", 5).alias("p_adj"))
+
+
+@query("t5_tukey_ordered_levels")
+def t5o(d: Data):
     return posthoc.tukey_hsd(d.ev(), "feature", "value", ["time"], by=("treatment",), levels={"time": TIMES})
 
 
@@ -158,20 +204,33 @@ def t5t(d: Data):
     return out.select("feature", "contrast", rnd("p_adj").alias("p_adj"))
 
 
+_TWOWAY_PAIRS = f"""{_TWOWAY}, pairs AS (
+ SELECT x.feature, 'a' AS term, y.a || '-' || x.a AS contrast, 3 AS k, df2 AS df, y.ma - x.ma AS diff, sqrt(rss / df2 / 2 * (1 / x.na + 1 / y.na)) AS se
+ FROM w x JOIN w y ON x.feature = y.feature AND x.a < y.a JOIN s ON s.feature = x.feature
+ UNION ALL SELECT feature, 'b', 'O-F', 2, df2, shift * wsum * (1 / nb1 + 1 / nb2), sqrt(rss / df2 / 2 * (1 / nb1 + 1 / nb2)) FROM s
+ UNION ALL SELECT x.feature, 'a:b', y.a || ':' || y.b || '-' || x.a || ':' || x.b, 6, df2, y.m - x.m, sqrt(rss / df2 / 2 * (1 / x.n + 1 / y.n))
+ FROM c x JOIN c y ON x.feature = y.feature AND (x.b < y.b OR (x.b = y.b AND x.a < y.a)) JOIN s ON s.feature = x.feature)"""
+
+
 @query(
     "t6_tukey_twoway",
-    f"""WITH {_TWOWAY}
- SELECT x.feature, 'a' AS term, y.a || '-' || x.a AS contrast, round(y.ma - x.ma, 4) AS diff, round(sqrt(rss / df2 / 2 * (1 / x.na + 1 / y.na)), 5) AS se
- FROM w x JOIN w y ON x.feature = y.feature AND x.a < y.a JOIN s ON s.feature = x.feature
- UNION ALL SELECT feature, 'b', 'O-F', round(shift * wsum * (1 / nb1 + 1 / nb2), 4), round(sqrt(rss / df2 / 2 * (1 / nb1 + 1 / nb2)), 5) FROM s
- UNION ALL SELECT x.feature, 'a:b', y.a || ':' || y.b || '-' || x.a || ':' || x.b, round(y.m - x.m, 4), round(sqrt(rss / df2 / 2 * (1 / x.n + 1 / y.n)), 5)
- FROM c x JOIN c y ON x.feature = y.feature AND (x.b < y.b OR (x.b = y.b AND x.a < y.a)) JOIN s ON s.feature = x.feature""",
+    f"WITH {_TWOWAY_PAIRS} SELECT feature, term, contrast, round(diff, 4) AS diff, round(se, 5) AS se FROM pairs",
 )
 def t6(d: Data):
     out = posthoc.tukey_hsd(d.li(), "feature", "value", ["a", "b"], p=False)
     return out.select("feature", "term", "contrast", rnd("diff", 4).alias("diff"), rnd("se", 5).alias("se"))
 
 
+@query(
+    "t6_tukey_twoway_p",
+    f"""WITH {_TWOWAY_PAIRS}, ranges AS (SELECT feature, term, contrast, k, df, abs(diff) / se AS q FROM pairs),
+ {tukey_p_sql('ranges', 'feature, term, contrast', [2, 3, 6])} SELECT feature, term, contrast, round(p, 5) AS p_adj FROM tukey""",
+)
+def t6pp(d: Data):
+    out = posthoc.tukey_hsd(d.li(), "feature", "value", ["a", "b"])
+    return out.select("feature", "term", "contrast", rnd("p_adj", 5).alias("p_adj"))
+
+
 @query("t6_tukey_threeway_p")
 def t6p(d: Data):
     return posthoc.tukey_hsd(d.ev(), "feature", "value", ["a", "b", "time"], levels={"time": TIMES})
@@ -201,9 +260,16 @@ def t7p(d: Data):
     return posthoc.pairwise_contrasts(d.li(), "feature", "value", "b").select("feature", rnd("p").alias("p"))
 
 
-@query("t7_pairwise_contrasts_p")
+@query(
+    "t7_pairwise_contrasts_p",
+    f"""WITH {EV}, {_oneway_sql('ev', 'feature, time', 'treatment')}, pairs AS (SELECT x.feature, x.time, x.lev || ' - ' || y.lev AS contrast, k,
+ df2 AS df, abs(x.m - y.m) / sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)) AS q FROM c x JOIN c y ON x.feature = y.feature AND x.time = y.time
+ AND x.lev < y.lev JOIN f ON f.feature = x.feature AND f.time = x.time), {tukey_p_sql('pairs', 'feature, time, contrast', [4])}
+ SELECT feature, time, contrast, round(p, 5) AS p FROM tukey""",
+)
 def t7pp(d: Data):
-    return posthoc.pairwise_contrasts(d.ev(), "feature", "value", "treatment", by=("time",))
+    out = posthoc.pairwise_contrasts(d.ev(), "feature", "value", "treatment", by=("time",))
+    return out.select("feature", "time", "contrast", rnd("p", 5).alias("p"))
 
 
 def _welch_sql(source: str, keys: str, factor: str, one: str, two: str) -> str:
@@ -277,3 +343,22 @@ def st3(d: Data):
     q = F.abs(F.col("s_acctbal") / 2000) * (2**0.5)
     rows = d.table("supplier").select("s_suppkey", q.alias("q"), (F.col("s_nationkey") + 2.5).alias("df"))
     return rows.select("s_suppkey", rnd(tukey_tail("q", F.lit(2.0), "df"), 7).alias("p"))
+
+
+@query(
+    "st3_studentized_range_three",
+    f"""WITH s AS (SELECT s_suppkey, abs(s_acctbal) / 2000 AS q, 3 AS k, s_nationkey + 2.5 AS df FROM supplier), {tukey_p_sql('s', 's_suppkey', [3])}
+ SELECT s_suppkey, round(p, 5) AS p FROM tukey""",
+)
+def st33(d: Data):
+    q = F.abs(F.col("s_acctbal") / 2000)
+    rows = d.table("supplier").select("s_suppkey", q.alias("q"), (F.col("s_nationkey") + 2.5).alias("df"))
+    return rows.select("s_suppkey", rnd(tukey_tail("q", F.lit(3.0), "df"), 5).alias("p"))
+
+
+@query("st3_critical_value", "SELECT s_suppkey, CAST(0.05 AS DOUBLE) AS p FROM supplier")
+def st3c(d: Data):
+    """The tail at the critical value is the level itself."""
+    rows = d.table("supplier").select("s_suppkey", (F.col("s_nationkey") + 2.0).alias("df"))
+    q = tukey_critical(F.lit(0.95), F.lit(4.0), "df")
+    return rows.withColumn("q", q).select("s_suppkey", rnd(tukey_tail("q", F.lit(4.0), "df"), 5).alias("p"))
