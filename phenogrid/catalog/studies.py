@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import studies
-from .registry import CONTROL, DIMS, EV, LI, TIMES, TREATMENTS, Data, query, rnd, rounded
-from .testing import _oneway_sql
+from .registry import CONTROL, DIMS, EV, TIMES, TREATMENTS, Data, query, rnd, rounded
+from .testing import _oneway_sql, _threeway_sql
 from .tukey_sql import tukey_p_sql
 from .vectors import _BRAY
 
 
-@query("s1_factorial_table")
+@query(
+    "s1_factorial_table",
+    f"""WITH {_threeway_sql()} SELECT feature, term, df::BIGINT AS df, df2::BIGINT AS df_resid, round(rss, 2) AS rss, round(f, 5) AS f FROM terms""",
+)
 def s1(d: Data):
-    return studies.factorial_study(d.ev(), "feature", "value", ["a", "b", "time"], levels={"time": TIMES}).table
+    out = studies.factorial_study(d.ev(), "feature", "value", ["a", "b", "time"], levels={"time": TIMES}).table
+    return out.select("feature", "term", "df", "df_resid", rnd("rss", 2).alias("rss"), rnd("f", 5).alias("f"))
 
 
 @query("s1_factorial_significant_pairs")

@@ -216,7 +216,7 @@ def g5(d: Data):
 
 
 def _fit_sql(x: str, keys: str = "feature") -> str:
-    return f"""fit AS (SELECT {keys}, regr_count(value, {x}) AS n, regr_slope(value, {x}) AS slope, regr_intercept(value, {x}) AS intercept,
+    return f"""fit AS (SELECT {keys}, regr_count(value, {x})::BIGINT AS n, regr_slope(value, {x}) AS slope, regr_intercept(value, {x}) AS intercept,
  regr_r2(value, {x}) AS r2, sqrt((regr_syy(value, {x}) - regr_sxy(value, {x}) ^ 2 / regr_sxx(value, {x})) / (count(*) - 2) / regr_sxx(value, {x})) AS se
  FROM li GROUP BY {keys})"""
 
@@ -276,7 +276,7 @@ def r4(d: Data):
 
 @query(
     "r4_pearson_covariate",
-    f"""WITH {CU}, c AS (SELECT segment, regr_count(c_acctbal, spent) AS n, corr(c_acctbal, spent) AS r FROM cu GROUP BY 1)
+    f"""WITH {CU}, c AS (SELECT segment, regr_count(c_acctbal, spent)::BIGINT AS n, corr(c_acctbal, spent) AS r FROM cu GROUP BY 1)
  SELECT segment, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t FROM c""",
 )
 def r4c(d: Data):

@@ -9,18 +9,63 @@ from ..plans.staging import stage
 from .registry import DIMS, EM, EML, EV, EVENT_TYPES, Data, query, rnd, rounded
 
 
-def _result(d: Data, k: int = 6) -> pca.PcaResult:
+def _axes_sql(source: str, dims: int, k: int = 2) -> str:
+    """First ``k`` axes of the correlation matrix of ``source(sample, dim, value)``: a matrix
+    squared 13 times keeps only its leading axis, which is then taken out of the matrix."""
+    ctes = [
+        f"""z AS (SELECT *, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM {source} WINDOW w AS (PARTITION BY dim))""",
+        "r1 AS (SELECT a.dim AS i, b.dim AS j, avg(a.z * b.z) AS r FROM z a JOIN z b USING (sample) GROUP BY 1, 2)",
+    ]
+    for c in range(1, k + 1):
+        last = f"r{c}"
+        for step in range(13):
+            name = f"p{c}_{step}"
+            ctes.append(
+                f"""{name} AS (SELECT i, j, r / sum(CASE WHEN i = j THEN r ELSE 0 END) OVER () AS r FROM
+ (SELECT a.i, b.j, sum(a.r * b.r) AS r FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2))"""
+            )
+            last = name
+        ctes += [
+            f"t{c} AS (SELECT i AS top, sqrt(r) AS size FROM {last} WHERE i = j ORDER BY r DESC LIMIT 1)",
+            f"v{c} AS (SELECT i, r / size AS v FROM {last}, t{c} WHERE j = top)",
+            f"e{c} AS (SELECT sum(x.v * r * y.v) AS e FROM r{c} JOIN v{c} x ON x.i = r{c}.i JOIN v{c} y ON y.i = r{c}.j)",
+            f"r{c + 1} AS (SELECT r{c}.i, r{c}.j, r - e * x.v * y.v AS r FROM e{c}, r{c} JOIN v{c} x ON x.i = r{c}.i JOIN v{c} y ON y.i = r{c}.j)",
+        ]
+    ctes += [
+        f"load AS ({' UNION ALL '.join(f'SELECT i, {c} AS axis, v FROM v{c}' for c in range(1, k + 1))})",
+        f"eigen AS ({' UNION ALL '.join(f'SELECT {c} AS axis, e FROM e{c}' for c in range(1, k + 1))})",
+        f"share AS (SELECT *, 100 * e / {dims} AS pct FROM eigen)",
+    ]
+    return ", ".join(ctes)
+
+
+_AXES = f"{EML}, {_axes_sql('eml', 64)}"
+_SCORES = f"""{_AXES}, scores AS (SELECT sample, any_value(grp) AS grp, sum(z * v) FILTER (axis = 1) AS pc1, sum(z * v) FILTER (axis = 2) AS pc2
+ FROM z JOIN load ON i = dim GROUP BY 1)"""
+_EIGEN = "SELECT axis AS dim, round(e, 6) AS eigenvalue, round(pct, 5) AS pct, round(sum(pct) OVER (ORDER BY axis), 5) AS cum_pct FROM share"
+
+
+def _result(d: Data, k: int = 2) -> pca.PcaResult:
     return pca.pca(d.em(), ["sample", "grp"], "vector", k, DIMS)
 
 
-@query("x5_pca_eigenvalues")
+def _eigen(result: pca.PcaResult):
+    return rounded(rounded(result.eigen, "pct", "cum_pct", digits=5), "eigenvalue")
+
+
+@query("x5_pca_eigenvalues", f"WITH {_AXES} {_EIGEN}")
 def x5(d: Data):
-    return _result(d).eigen
+    return _eigen(_result(d))
+
 
+@query("x5_pca_six_axes")
+def x5a(d: Data):
+    return _result(d, 6).eigen
 
-@query("x5_pca_scores")
+
+@query("x5_pca_scores", f"WITH {_SCORES} SELECT sample, grp, round(pc1, 5) AS pc1, round(pc2, 5) AS pc2 FROM scores")
 def x5s(d: Data):
-    return _result(d, 2).scores
+    return rounded(_result(d).scores, "pc1", "pc2", digits=5)
 
 
 @query(
@@ -35,21 +80,35 @@ def x5t(d: Data):
     return total.withColumn("_k", F.lit(1)).join(rows.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-@query("x6_pca_contributions")
+@query(
+    "x6_pca_contributions",
+    f"""WITH {_AXES}, c AS (SELECT i, sum(e * 100 * v * v) / sum(e) AS contrib FROM load JOIN eigen USING (axis) GROUP BY 1)
+ SELECT i::VARCHAR AS feature, round(contrib, 5) AS contrib FROM c ORDER BY c.contrib DESC LIMIT 10""",
+)
 def x6(d: Data):
-    return pca.pca_contributions(_result(d, 2), 10)
+    return rounded(pca.pca_contributions(_result(d), 10), "contrib", digits=5)
 
 
-@query("x7_group_ellipse")
+@query(
+    "x7_group_ellipse",
+    f"""WITH {_SCORES} SELECT grp, count(*) AS n, round(avg(pc1), 5) AS cx, round(avg(pc2), 5) AS cy, round(var_samp(pc1), 5) AS vxx,
+ round(var_samp(pc2), 5) AS vyy, round(covar_samp(pc1, pc2), 5) AS vxy FROM scores GROUP BY 1""",
+)
 def x7(d: Data):
-    return pca.group_ellipse(_result(d, 2).scores, "grp")
+    return rounded(pca.group_ellipse(_result(d).scores, "grp"), "cx", "cy", "vxx", "vyy", "vxy", digits=5)
+
+
+_SUBSET = f"""{EV}, cell AS (SELECT subject AS sample, feature AS dim, avg(value) AS raw, avg(zs) AS zs FROM (SELECT subject, feature, value,
+ (value - avg(value) OVER w) / stddev_samp(value) OVER w AS zs FROM ev WHERE time = 'D35' WINDOW w AS (PARTITION BY feature)) GROUP BY 1, 2),
+ eml AS (SELECT sample, dim, coalesce(zs, 0) AS value FROM (SELECT DISTINCT sample FROM cell) s CROSS JOIN (SELECT DISTINCT dim FROM cell) d
+ LEFT JOIN cell USING (sample, dim)), {_axes_sql('eml', 5)}"""
 
 
-@query("x8_pca_subset")
+@query("x8_pca_subset", f"WITH {_SUBSET} {_EIGEN}")
 def x8(d: Data):
-    wide = scale.zscore(d.ev().where("time = 'D35'"), "feature", "value")
-    packed = scale.pack_vectors(wide, ["subject"], "feature", "scaled", EVENT_TYPES)
-    return pca.pca(packed, ["subject"], "vector", 3, EVENT_TYPES).eigen
+    scaled = scale.zscore(d.ev().where("time = 'D35'"), "feature", "value")
+    packed = scale.pack_vectors(scaled, ["subject"], "feature", "scaled", EVENT_TYPES)
+    return _eigen(pca.pca(packed, ["subject"], "vector", 2, EVENT_TYPES))
 
 
 @query(

@@ -105,3 +105,23 @@ def test_text_files_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == [("M1", "98, 100", 10479264768.0), ("M2", "7", None)]
     sources.write_table(kept, str(tmp_path / "parts"), partition_by=("id",))
     assert (tmp_path / "parts" / "id=M1").is_dir()
+
+
+def test_without_a_shared_folder_plans_stay_whole(spark, data, monkeypatch):
+    from phenogrid.operators import multiple, permanova, posthoc, scale, summarize
+
+    ev, em = data.ev(), data.em()
+    jobs = [
+        lambda: summarize.five_number(ev, ["feature"], "value"),
+        lambda: posthoc.pairwise_contrasts(ev, "feature", "value", "treatment"),
+        lambda: multiple.p_adjust(data.pvals(), "p", "fdr", within=("family",)),
+        lambda: scale.quantile_normalise(ev, "feature", "value"),
+        lambda: permanova.permanova(em, "sample", "vector", "grp", "euclidean", 19),
+    ]
+
+    def rows(df):
+        return sorted([tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()], key=str)
+
+    staged = [rows(job()) for job in jobs]
+    monkeypatch.setattr(staging, "scratch_folder", lambda spark: None)
+    assert [rows(job()) for job in jobs] == staged
