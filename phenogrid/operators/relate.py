@@ -21,8 +21,12 @@ def attach_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str = "inner
 
 
 def keep_features(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key occurs in ``wanted``, each once (semi join)."""
-    return df.join(wanted.select(*on), on, "left_semi")
+    """Rows whose key occurs in ``wanted``, each once (semi join).
+
+    ``wanted`` usually comes out of a test on the same rows, so its size is unknown to the
+    optimizer; its distinct keys are staged and broadcast if they turn out small.
+    """
+    return df.join(stage(wanted.select(*on).distinct()), on, "left_semi")
 
 
 def level_pairs(
@@ -53,7 +57,10 @@ def attach_covariate(
     time: str,
     tumor_time: str = "D35",
 ) -> DataFrame:
-    """Covariate of the same subject and time; tumour samples count as taken at ``tumor_time``."""
+    """Covariate of the same subject and time; tumour samples count as taken at ``tumor_time``.
+
+    The covariate table is staged, so that its true size decides how it is joined.
+    """
     parsed = parse_sample_id(df, id_col, tumor_time=tumor_time)
-    renamed = covariate.withColumnsRenamed({subject: "subject_id", time: "time"})
+    renamed = stage(covariate.withColumnsRenamed({subject: "subject_id", time: "time"}))
     return parsed.join(renamed, ["subject_id", "time"], "left")
