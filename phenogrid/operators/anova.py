@@ -174,7 +174,11 @@ def anova_factorial(
     Two and three factors give 3 and 7 terms.
     """
     keys = [*by, feature]
-    packed = gathered_cells(df, keys, factors, value)
+    return factorial_from_cells(gathered_cells(df, keys, factors, value), keys, factors, p)
+
+
+def factorial_from_cells(packed: DataFrame, keys: list[str], factors: list[str], p: bool = True) -> DataFrame:
+    """The factorial table from cells gathered before, so that they can serve comparisons too."""
     terms = model_terms(len(factors))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,7 +88,19 @@ def tukey_hsd(
     if len(factors) == 1:
         return tukey_oneway(df, feature, value, factors[0], by, conf, levels.get(factors[0]), p)
     keys = [*by, feature]
-    packed = gathered_cells(df, keys, factors, value, levels)
+    return tukey_from_cells(gathered_cells(df, keys, factors, value, levels), keys, factors, conf, levels, p)
+
+
+def tukey_from_cells(
+    packed: DataFrame,
+    keys: list[str],
+    factors: list[str],
+    conf: float = 0.95,
+    levels: dict[str, list[str]] | None = None,
+    p: bool = True,
+) -> DataFrame:
+    """All comparisons of a factorial from cells gathered before."""
+    levels = levels or {}
     ordered = {i: {v: j for j, v in enumerate(levels[f])} for i, f in enumerate(factors) if f in levels}
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,9 +24,14 @@ def factorial_study(
     alpha: float = 0.05,
     levels: dict[str, list[str]] | None = None,
 ) -> FactorialStudy:
-    """Analysis of variance of every feature, and its significant level comparisons."""
-    table = anova.anova_factorial(df, feature, value, factors, by)
-    pairs = posthoc.tukey_hsd(df, feature, value, factors, by, levels=levels)
+    """Analysis of variance of every feature, and its significant level comparisons.
+
+    Both come from the same staged cells: the measurements are scanned once.
+    """
+    keys = [*by, feature]
+    cells = stage(anova.gathered_cells(df, keys, factors, value, levels))
+    table = anova.factorial_from_cells(cells, keys, factors)
+    pairs = posthoc.tukey_from_cells(cells, keys, factors, levels=levels)
     return FactorialStudy(table, anova.significant(pairs, "p_adj", alpha))
 
 
