@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import studies
 from .registry import CONTROL, DIMS, EV, TIMES, TREATMENTS, Data, query, rnd, rounded
-from .testing import _oneway_sql, _threeway_sql
+from .testing import _oneway_sql, _threeway_pairs_sql, _threeway_sql
 from .tukey_sql import tukey_p_sql
 from .vectors import _BRAY
 
@@ -20,9 +20,14 @@ def s1(d: Data):
     return out.select("feature", "term", "df", "df_resid", rnd("rss", 2).alias("rss"), rnd("f", 5).alias("f"))
 
 
-@query("s1_factorial_significant_pairs")
+@query(
+    "s1_factorial_significant_pairs",
+    f"""WITH {_threeway_pairs_sql()}, ranges AS (SELECT feature, term, contrast, k, df, abs(diff) / se AS q FROM pairs),
+ {tukey_p_sql('ranges', 'feature, term, contrast', [2, 3, 4, 6, 12])} SELECT feature, term, contrast, round(p, 5) AS p_adj FROM tukey WHERE p < 0.3""",
+)
 def s1p(d: Data):
-    return studies.factorial_study(d.ev(), "feature", "value", ["a", "b", "time"], alpha=0.3, levels={"time": TIMES}).posthoc
+    study = studies.factorial_study(d.ev(), "feature", "value", ["a", "b", "time"], alpha=0.3, levels={"time": TIMES})
+    return study.posthoc.select("feature", "term", "contrast", rnd("p_adj", 5).alias("p_adj"))
 
 
 _ALPHA = 0.3

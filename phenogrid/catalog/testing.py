@@ -93,34 +93,77 @@ def t2w(d: Data):
     return wide.select("feature", "fStatEx", "fStatWt", "fStatInt")
 
 
-def _threeway_sql() -> str:
-    """Sequential fit of a x b x time on cell means: coded columns made orthogonal one by one,
-    each step a query over the last, with cell counts as weights."""
-    code = {"a": ["(a = 'SED')::INT"], "b": ["(b = 'ER')::INT"], "time": ["(time = 'D21')::INT", "(time = 'D7')::INT"]}
-    terms = ["a", "b", "time", "a:b", "a:time", "b:time", "a:b:time"]
+_CODES = {"a": ["(a = 'SED')::INT"], "b": ["(b = 'ER')::INT"], "time": ["(time = 'D21')::INT", "(time = 'D7')::INT"]}
+_TERMS = ["a", "b", "time", "a:b", "a:time", "b:time", "a:b:time"]
+
+
+def _threeway_columns() -> list[tuple[str, str]]:
+    """The intercept and each coded column with the term it belongs to."""
     columns = [("", "1.0")]
-    for term in terms:
+    for term in _TERMS:
         products = [""]
         for factor in term.split(":"):
-            products = [f"{p}{' * ' if p else ''}{c}" for p in products for c in code[factor]]
+            products = [f"{p}{' * ' if p else ''}{c}" for p in products for c in _CODES[factor]]
         columns += [(term, f"1.0 * {p}") for p in products]
+    return columns
+
+
+def _threeway_basis_sql() -> str:
+    """CTEs up to ``basis``: cells of a x b x time with columns q0, q1, ... made orthogonal one by
+    one, each step a query over the last, with cell counts as weights."""
     steps, last = [], "x"
-    for i, (_, expr) in enumerate(columns):
+    for i, (_, expr) in enumerate(_threeway_columns()):
         less = "".join(f" - q{h} * sum(n * q{h} * ({expr})) OVER w / sum(n * q{h} * q{h}) OVER w" for h in range(i))
         steps.append(f"z{i} AS (SELECT *, {expr}{less} AS q{i} FROM {last} WINDOW w AS (PARTITION BY feature))")
         last = f"z{i}"
+    return f"""{EV}, raw AS (SELECT feature, a, b, time, count(value) AS n, avg(value) AS m0, var_pop(value) * count(value) AS m2 FROM ev GROUP BY 1, 2, 3, 4),
+ x AS (SELECT *, m0 - sum(n * m0) OVER w / sum(n) OVER w AS m FROM raw WINDOW w AS (PARTITION BY feature)), {', '.join(steps)},
+ basis AS (SELECT * FROM {last})"""
+
+
+def _threeway_sql() -> str:
+    """CTE ``terms``: the sequential table of the three-way fit."""
+    columns = _threeway_columns()
     shares = ", ".join(f"sum(n * q{i} * m) ^ 2 / sum(n * q{i} * q{i}) AS s{i}" for i in range(1, len(columns)))
     lines = " UNION ALL ".join(
         f"SELECT feature, '{t}' AS term, {sum(c == t for c, _ in columns)} AS df, df2, "
         f"({' + '.join(f's{i}' for i, (c, _) in enumerate(columns) if c == t)}) AS ss, rss FROM parts"
-        for t in terms
+        for t in _TERMS
     )
-    return f"""{EV}, raw AS (SELECT feature, a, b, time, count(value) AS n, avg(value) AS m0, var_pop(value) * count(value) AS m2 FROM ev GROUP BY 1, 2, 3, 4),
- x AS (SELECT *, m0 - sum(n * m0) OVER w / sum(n) OVER w AS m FROM raw WINDOW w AS (PARTITION BY feature)), {', '.join(steps)},
- parts AS (SELECT feature, {shares}, sum(m2) AS rss, sum(n) - count(*) AS df2 FROM {last} GROUP BY 1),
+    return f"""{_threeway_basis_sql()},
+ parts AS (SELECT feature, {shares}, sum(m2) AS rss, sum(n) - count(*) AS df2 FROM basis GROUP BY 1),
  lines AS ({lines}), terms AS (SELECT *, ss / df / (rss / df2) AS f FROM lines)"""
 
 
+def _threeway_pairs_sql() -> str:
+    """CTE ``pairs``: comparisons of the level means of every term, built from the effects of the
+    term and of those inside it."""
+    columns = _threeway_columns()
+    effects = ", ".join(
+        f"q{i} * sum(n * q{i} * m) OVER w / sum(n * q{i} * q{i}) OVER w AS e{i}" for i in range(1, len(columns))
+    )
+    place = {"a": "(a = 'SED')::INT", "b": "10 * (b = 'ER')::INT", "time": "100 * list_position(['D7', 'D21', 'D35'], time)"}
+    size = {"a": 2, "b": 2, "time": 3}
+    means = []
+    for term in _TERMS:
+        factors = term.split(":")
+        inside = [f"e{i}" for i, (c, _) in enumerate(columns) if c and set(c.split(":")) <= set(factors)]
+        label = " || ':' || ".join(factors)
+        order = " + ".join(place[f] for f in factors)
+        k = 1
+        for f in factors:
+            k *= size[f]
+        means.append(
+            f"SELECT feature, '{term}' AS term, {label} AS lev, {order} AS ord, {k} AS k, sum(n * ({' + '.join(inside)})) / sum(n) AS mean, "
+            f"sum(n) AS rows FROM fits GROUP BY ALL"
+        )
+    return f"""{_threeway_basis_sql()}, fits AS (SELECT *, {effects} FROM basis WINDOW w AS (PARTITION BY feature)),
+ err AS (SELECT feature, sum(n) - count(*) AS df, sum(m2) / (sum(n) - count(*)) AS mse FROM basis GROUP BY 1),
+ means AS ({' UNION ALL '.join(means)}),
+ pairs AS (SELECT x.feature, x.term, y.lev || '-' || x.lev AS contrast, x.k, df, y.mean - x.mean AS diff, sqrt(mse / 2 * (1 / x.rows + 1 / y.rows)) AS se
+ FROM means x JOIN means y ON x.feature = y.feature AND x.term = y.term AND x.ord < y.ord JOIN err ON err.feature = x.feature)"""
+
+
 @query(
     "t3_anova_threeway",
     f"""WITH {_threeway_sql()}, s1 AS (SELECT feature, term, sqrt(f) AS t, df2 AS df FROM terms WHERE df = 1), {t_tail_sql('s1', 'feature, term')}
@@ -189,9 +232,17 @@ def t5p(d: Data):
     return out.select("feature", "contrast", rnd("p_adj", 5).alias("p_adj"))
 
 
-@query("t5_tukey_ordered_levels")
+@query(
+    "t5_tukey_ordered_levels",
+    f"""WITH {EV}, {_oneway_sql('ev', 'treatment, feature', 'time')}, ordered AS (SELECT *, list_position(['D7', 'D21', 'D35'], lev) AS ord FROM c),
+ pairs AS (SELECT x.treatment, x.feature, y.lev || '-' || x.lev AS contrast, k, df2 AS df, y.m - x.m AS diff,
+ abs(x.m - y.m) / sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)) AS q FROM ordered x JOIN ordered y ON x.feature = y.feature AND x.treatment = y.treatment
+ AND x.ord < y.ord JOIN f ON f.feature = x.feature AND f.treatment = x.treatment), {tukey_p_sql('pairs', 'treatment, feature, contrast', [3])}
+ SELECT treatment, feature, contrast, round(diff, 6) AS diff, round(p, 5) AS p_adj FROM tukey JOIN pairs USING (treatment, feature, contrast)""",
+)
 def t5o(d: Data):
-    return posthoc.tukey_hsd(d.ev(), "feature", "value", ["time"], by=("treatment",), levels={"time": TIMES})
+    out = posthoc.tukey_hsd(d.ev(), "feature", "value", ["time"], by=("treatment",), levels={"time": TIMES})
+    return out.select("treatment", "feature", "contrast", rnd("diff").alias("diff"), rnd("p_adj", 5).alias("p_adj"))
 
 
 @query(
@@ -231,9 +282,15 @@ def t6pp(d: Data):
     return out.select("feature", "term", "contrast", rnd("p_adj", 5).alias("p_adj"))
 
 
-@query("t6_tukey_threeway_p")
+@query(
+    "t6_tukey_threeway_p",
+    f"""WITH {_threeway_pairs_sql()}, ranges AS (SELECT feature, term, contrast, k, df, abs(diff) / se AS q FROM pairs),
+ {tukey_p_sql('ranges', 'feature, term, contrast', [2, 3, 4, 6, 12])}
+ SELECT feature, term, contrast, round(diff, 6) AS diff, round(se, 6) AS se, round(p, 5) AS p_adj FROM tukey JOIN pairs USING (feature, term, contrast)""",
+)
 def t6p(d: Data):
-    return posthoc.tukey_hsd(d.ev(), "feature", "value", ["a", "b", "time"], levels={"time": TIMES})
+    out = posthoc.tukey_hsd(d.ev(), "feature", "value", ["a", "b", "time"], levels={"time": TIMES})
+    return out.select("feature", "term", "contrast", rnd("diff").alias("diff"), rnd("se").alias("se"), rnd("p_adj", 5).alias("p_adj"))
 
 
 @query(

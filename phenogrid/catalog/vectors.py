@@ -58,9 +58,9 @@ def x5(d: Data):
     return _eigen(_result(d))
 
 
-@query("x5_pca_six_axes")
+@query("x5_pca_six_axes", f"WITH {EML}, {_axes_sql('eml', 64, 6)} {_EIGEN}")
 def x5a(d: Data):
-    return _result(d, 6).eigen
+    return _eigen(_result(d, 6))
 
 
 @query("x5_pca_scores", f"WITH {_SCORES} SELECT sample, grp, round(pc1, 5) AS pc1, round(pc2, 5) AS pc2 FROM scores")
