@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators import clean, relate
-from ..plans.staging import scratch_folder
+from ..plans.staging import scratch_path
 from ..sources import cached_dataset, drop_label_records, read_measurements, write_table
 from .registry import EV, LI, TIMES, Data, query, rnd, rounded
 
@@ -36,7 +36,7 @@ def io2(d: Data):
 
 @query("io3_write_table", f"WITH {EV} SELECT event_id, feature, time, value FROM ev")
 def io3(d: Data):
-    path = f"{scratch_folder(d.spark) or d.spark.conf.get('spark.sql.warehouse.dir')}/io3_write_table"
+    path = scratch_path(d.spark)
     write_table(d.ev().select("event_id", "feature", "time", "value"), path, partition_by=("time",))
     schema = T.StructType(
         [

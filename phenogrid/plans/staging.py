@@ -1,13 +1,20 @@
-"""Staging of small intermediate results in the cluster's shared folder.
+"""Staging of intermediate results in the cluster's shared folder.
 
 A staged table has a known size on disk. Catalyst compares that size with
 ``spark.sql.autoBroadcastJoinThreshold``, so a join with it is a broadcast only when the table
 really is small and a shuffled join (with AQE skew handling) otherwise. Staging also cuts
 lineage, and it survives the loss of executors because it lives in shared storage.
+
+The folder is the one named by ``spark.checkpoint.dir``. Only a session whose executors are
+threads of the driver (``local`` or ``local[n]``) may leave it unset; everywhere else a missing
+folder is an error. Staged tables are removed by :func:`unstage`, and at the latest when the
+Python process of the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,34 +22,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
+_swept: set[str] = set()
 
 
-def scratch_folder(spark: SparkSession) -> str | None:
+def scratch_folder(spark: SparkSession) -> str:
     """Folder for staged tables: the session's checkpoint folder, or, in local mode without
-    one, a temporary folder."""
+    one, a temporary folder of this process."""
     app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/phenogrid-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="phenogrid-")
-    return _local_folders[app]
+    if not shared:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="phenogrid-")
+        shared = _local_folders[app]
+    folder = f"{shared.rstrip('/')}/phenogrid-{app}"
+    if folder not in _swept:
+        _swept.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the scratch folder and return it as a scan.
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in Spark's file system; nothing to do once the session has stopped."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
-    Without a shared folder on a cluster the plan is returned as it is: still right, but
-    recomputed by each use.
-    """
-    folder = scratch_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/{uuid.uuid4().hex}"
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the scratch folder and return it as a scan. Runs a job."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._phenogrid_path = path
+    return staged
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table made by :func:`stage`, once no plan reads it any more."""
+    _remove(df.sparkSession, df._phenogrid_path)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
