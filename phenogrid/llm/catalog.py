@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets, sharding, simhash
+from . import chat, decontaminate, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,37 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+# Words and windows of items and documents in SQL; a short item is one window.
+_WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op5_benchmark_decontamination",
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+ FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+ sizes AS (SELECT DISTINCT n FROM win),
+ grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+ FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+ found AS (SELECT doc_id, item_id, n, i FROM grams JOIN win USING (n, g)),
+ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+ FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1),
+ own AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS s
+ FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
+ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""",
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, "text", table(spark, folder, "benchmark"), "item_id", "text")
+    return marked.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        (F.col("hits.n_hit") > 0).alias("contaminated"),
+    )
