@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, secrets, sharding, simhash
+from . import chat, decontaminate, langid, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,36 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         (F.col("hits.n_hit") > 0).alias("contaminated"),
     )
+
+
+def _fold(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(_fold(4) != 2), "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), "text", model)
+    return found.select(
+        "doc_id",
+        F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marks = table(spark, folder, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taught = docs.where(_fold(3) != 1).join(marks, "doc_id")
+    model = toxicity.fit(taught, "text", "toxic")
+    scored = toxicity.add_score(docs, "text", model, "score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
