@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, secrets, sharding, simhash, toxicity, vectors
+from . import chat, decontaminate, langid, lines, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = vectors.search(table(spark, folder, "embeddings"), "vec_id", "embedding", 20, 20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = lines.line_classes(docs, "doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("class_key")) & (F.col("doc") == F.col("class_doc"))
+    return found.select(
+        "doc_id",
+        F.col("place").alias("line_no"),
+        F.col("class_key").alias("class_doc_id"),
+        F.col("class_place").alias("class_line_no"),
+        (same & (F.col("place") == F.col("class_place"))).alias("kept"),
+    )
