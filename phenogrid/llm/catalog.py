@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, secrets, sharding, simhash, toxicity, vectors
+from . import chat, decontaminate, langid, lines, pieces, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
 def query(name: str, sql: str | None = None):
+    """Register ``fn(spark, folder)`` and, if given, the SQL with the same result."""
+
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -211,3 +221,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.col("class_place").alias("class_line_no"),
         (same & (F.col("place") == F.col("class_place"))).alias("kept"),
     )
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, folder: str, model: str = PIECES) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.add_encoding(docs, "text", model, 4).select(
+        "doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"), "encoding.*"
+    )
