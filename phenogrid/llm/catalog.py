@@ -13,6 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -23,6 +28,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            small_batches(spark)
             return fn(spark, folder)
 
         QUERIES[name] = run
