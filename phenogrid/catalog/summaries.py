@@ -10,6 +10,9 @@ from .registry import CU, EV, LI, PA, Data, query, rnd, rounded, t_tail_sql
 from .tukey_sql import normal_quantiles_sql
 
 
+_CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query("a1_group_mean", f"WITH {LI} SELECT feature, a, round(avg(value), 4) AS mean FROM li GROUP BY 1, 2")
 def a1(d: Data):
     return rounded(summarize.summarize(d.li(), ["feature", "a"], "value", ("mean",)), "mean", digits=4)
@@ -63,14 +66,15 @@ def a7(d: Data):
 
 @query(
     "a8_class_means_wide",
-    """SELECT l_orderkey AS sample, round(avg(CASE WHEN p_type = 'PROMO' THEN l_extendedprice END), 4) AS "PROMO",
- round(avg(CASE WHEN p_type = 'SMALL' THEN l_extendedprice END), 4) AS "SMALL" FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "SELECT l_orderkey AS sample, "
+    + ", ".join(f"round(avg(CASE WHEN p_type = '{c}' THEN l_extendedprice END), 4) AS \"{c}\"" for c in _CLASSES)
+    + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
 )
 def a8(d: Data):
     part = d.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("class"))
     rows = d.table("lineitem").join(part, "l_partkey").withColumnRenamed("l_orderkey", "sample")
     means = summarize.class_means(rows, ["sample"], "class", "l_extendedprice")
-    return rounded(reshape.to_wide(means, ["sample"], "class", "mean", ["PROMO", "SMALL"]), "PROMO", "SMALL", digits=4)
+    return rounded(reshape.to_wide(means, ["sample"], "class", "mean", _CLASSES), *_CLASSES, digits=4)
 
 
 @query("a9_group_sum", f"WITH {LI} SELECT feature, a, round(sum(value), 2) AS sum FROM li GROUP BY 1, 2")

@@ -75,6 +75,20 @@ def level_rank(c: Column | str, levels: list[str] | None) -> Column:
 
 
 def finite_or_null(c: Column | str) -> Column:
-    """Double with NaN read as missing, as model fits and summaries expect."""
+    """Double with NaN and infinities read as missing, as model fits and summaries expect."""
     x = _col(c).cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def no_clash(names: list[str], made: tuple[str, ...]) -> None:
+    """Fail if a column that stays in the result has the name of one the operator makes."""
+    taken = {m.lower() for m in made}
+    both = [n for n in names if n.lower() in taken]
+    if both:
+        raise ValueError(f"rename these columns first, the result has columns of that name: {both}")
+
+
+def listed(c: str, levels: list) -> Column:
+    """The column itself, failing on a value that is not in ``levels``; NULL passes."""
+    told = F.concat(F.lit(f"level of {c} that is not listed: "), F.col(c).cast("string"))
+    return F.when(F.col(c).isNull() | F.col(c).isin(levels), F.col(c)).otherwise(F.raise_error(told))

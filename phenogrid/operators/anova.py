@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import level_rank
 from ..functions.tails import f_tail
-from .cells import cell_stats
+from .cells import cell_stats, plain_keys
 
 
 def with_group_totals(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,6 +47,7 @@ def oneway_from_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(*[F.max(c).alias(c) for c in figures])
 
 
+@plain_keys
 def anova_oneway(
     df: DataFrame, feature: str, value: str, factor: str, by: tuple[str, ...] = (), p: bool = True
 ) -> DataFrame:
@@ -160,6 +161,7 @@ def term_name(factors: list[str], term: tuple[int, ...]) -> str:
     return ":".join(factors[i] for i in term)
 
 
+@plain_keys
 def anova_factorial(
     df: DataFrame,
     feature: str,

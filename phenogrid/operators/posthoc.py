@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.columns import level_rank
 from ..functions.tails import t_tail, tukey_critical, tukey_tail
 from .anova import gathered_cells, layouts, model_terms, term_name, with_group_totals
-from .cells import cell_stats
+from .cells import cell_stats, plain_keys
 from .relate import level_pairs
 
 
@@ -29,6 +29,7 @@ def _paired_cells(df, keys, value, factor, levels) -> DataFrame:
     return pairs.withColumnsRenamed({"k_1": "k", "df2_1": "df", "mse_1": "mse", "f_1": "f"})
 
 
+@plain_keys
 def tukey_oneway(
     df: DataFrame,
     feature: str,
@@ -68,6 +69,7 @@ def _tukey_columns(out: DataFrame, conf: float) -> DataFrame:
     )
 
 
+@plain_keys
 def tukey_hsd(
     df: DataFrame,
     feature: str,
@@ -152,6 +154,7 @@ def _term_levels(names: np.ndarray, term: tuple[int, ...], ordered: dict) -> tup
     return [":".join(c) for c in present], np.array([number[c] for c in cells]), len(full)
 
 
+@plain_keys
 def pairwise_contrasts(
     df: DataFrame,
     feature: str,
@@ -185,6 +188,7 @@ def pairwise_contrasts(
     return out.withColumn("p", tukey_tail(F.abs("t") * (2**0.5), "k", "df"))
 
 
+@plain_keys
 def welch_t_test(
     df: DataFrame,
     feature: str,

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null
+from ..functions.columns import finite_or_null, no_clash
 from ..functions.tails import t_tail
 
 
 def linear_regression(
     df: DataFrame, feature: str, x: str, y: str, by: tuple[str, ...] = (), p: bool = True
 ) -> DataFrame:
-    """Fit ``y ~ x``. Rows lacking either value are left out; a constant ``x`` gives NULLs."""
+    """Fit ``y ~ x``. Rows lacking either value are left out; a constant ``x`` gives NULLs.
+
+    Points exactly on a sloping line have an infinite ``t`` and p = 0.
+    """
+    no_clash([*by, feature], ("n", "slope", "intercept", "r2", "adj_r2", "se", "t", "p"))
     a, b = finite_or_null(x), finite_or_null(y)
     fit = df.groupBy(*by, feature).agg(
         F.regr_count(b, a).alias("n"),
         F.regr_slope(b, a).alias("slope"),
         F.regr_intercept(b, a).alias("intercept"),
-        F.regr_r2(b, a).alias("r2"),
+        F.least(F.regr_r2(b, a), F.lit(1.0)).alias("r2"),  # rounding may pass one
         F.regr_sxx(b, a).alias("_sxx"),
         F.regr_syy(b, a).alias("_syy"),
         F.regr_sxy(b, a).alias("_sxy"),
@@ -27,6 +31,7 @@ def linear_regression(
     usable = (left > 0) & (F.col("_sxx") > 0)
     rest = F.greatest(F.col("_syy") - F.col("_sxy") ** 2 / F.nullif("_sxx", F.lit(0.0)), F.lit(0.0))
     se = F.when(usable, F.sqrt(rest / left / F.col("_sxx")))
+    exact = usable & (rest == 0) & (F.col("_syy") > 0)
     out = fit.select(
         *by,
         feature,
@@ -36,24 +41,35 @@ def linear_regression(
         "r2",
         F.when(usable, 1 - (1 - F.col("r2")) * (F.col("n") - 1) / left).alias("adj_r2"),
         se.alias("se"),
-        (F.col("slope") / F.nullif(se, F.lit(0.0))).alias("t"),
+        F.when(exact, F.signum("slope") * float("inf")).otherwise(F.col("slope") / F.nullif(se, F.lit(0.0))).alias("t"),
     )
-    return out.withColumn("p", t_tail("t", (F.col("n") - 2).cast("double"))) if p else out
+    return _with_p(out) if p else out
+
+
+def _with_p(out: DataFrame) -> DataFrame:
+    """Two-sided p of ``t`` on n - 2 degrees of freedom; 0 for an infinite ``t``."""
+    endless = F.abs(F.col("t")) == float("inf")
+    finite = out.withColumn("_t", F.when(~endless, F.col("t")))
+    tail = t_tail("_t", (F.col("n") - 2).cast("double"))
+    return finite.withColumn("p", tail).withColumn("p", F.when(endless, 0.0).otherwise(F.col("p"))).drop("_t")
 
 
 def pearson(
     df: DataFrame, feature: str, x: str, y: str, by: tuple[str, ...] = (), p: bool = True
 ) -> DataFrame:
+    """Correlation of ``x`` and ``y``; NULL if either is constant. |r| = 1 has p = 0."""
+    no_clash([*by, feature], ("n", "r", "t", "p"))
     a, b = finite_or_null(x), finite_or_null(y)
     both = a.isNotNull() & b.isNotNull()
     found = df.groupBy(*by, feature).agg(
         F.regr_count(b, a).alias("n"),
-        F.corr(F.when(both, a), F.when(both, b)).alias("r"),
+        F.greatest(F.least(F.corr(F.when(both, a), F.when(both, b)), F.lit(1.0)), F.lit(-1.0)).alias("r"),
     )
     left = F.col("n") - 2
     t = F.col("r") * F.sqrt(F.when(left > 0, left) / F.nullif(1 - F.col("r") ** 2, F.lit(0.0)))
-    out = found.withColumn("t", t)
-    return out.withColumn("p", t_tail("t", (F.col("n") - 2).cast("double"))) if p else out
+    endless = (left > 0) & (F.abs(F.col("r")) == 1)
+    out = found.withColumn("t", F.when(endless, F.col("r") * float("inf")).otherwise(t))
+    return _with_p(out) if p else out
 
 
 def slope_sign(df: DataFrame, slope: str = "slope") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import listed, no_clash
+
 _SINGLE = {
     "mean": F.avg,
     "sum": F.sum,
@@ -24,15 +26,18 @@ def to_long(
 
 
 def to_wide(
-    df: DataFrame, ids: list[str], feature: str, value: str, levels: list, agg: str = "max"
+    df: DataFrame, ids: list[str], feature: str, value: str, levels: list, agg: str = "max", others: bool = True
 ) -> DataFrame:
-    """One column per level. Levels are given, so no job runs to discover them."""
+    """One column per level. Levels are given, so no job runs to discover them; a row with a level
+    that is not listed is an error, or is left out with ``others=False``."""
+    if others:
+        df = df.withColumn(feature, listed(feature, levels))
     return df.groupBy(*ids).pivot(feature, levels).agg(_SINGLE[agg](value))
 
 
 def explode_keys(df: DataFrame, col: str, sep: str = r",\s*") -> DataFrame:
-    """One row per part of a multi-valued cell such as ``"98, 100"``."""
-    return df.withColumn(col, F.explode(F.split(F.col(col), sep)))
+    """One row per part of a multi-valued cell such as ``"98, 100"``; a NULL cell keeps its row."""
+    return df.withColumn(col, F.explode_outer(F.split(F.col(col), sep)))
 
 
 def stats_wide(
@@ -42,14 +47,19 @@ def stats_wide(
     stats: dict[str, Column],
     levels: list[str],
     stat_first: bool = True,
+    others: bool = True,
 ) -> DataFrame:
     """Several statistics by one or two name columns, as ``stat_level`` or ``level_stat``.
 
-    One aggregation; ``levels`` lists the joined names (``a`` or ``a_b``) in output order.
+    One aggregation; ``levels`` lists the joined names (``a`` or ``a_b``) in output order. A name
+    that is not listed is an error, or is left out with ``others=False``.
     """
     name = F.concat_ws("_", *[F.col(c) for c in names])
+    df = df.withColumn("_name", name)
+    if others:
+        df = df.withColumn("_name", listed("_name", levels))
     wide = (
-        df.withColumn("_name", name)
+        df
         .groupBy(*rows)
         .pivot("_name", levels)
         .agg(*[c.alias(s) for s, c in stats.items()])
@@ -77,5 +87,6 @@ def top_in_group(df: DataFrame, group: list[str], stat: str, n: int) -> DataFram
     Spark cuts each group to its first ranks before the shuffle, so a hot group stays small
     unless the cut itself is full of ties.
     """
+    no_clash(df.columns, ("rank",))
     rank = F.rank().over(Window.partitionBy(*group).orderBy(F.desc(stat)))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)

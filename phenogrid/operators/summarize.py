@@ -70,8 +70,13 @@ def class_means(df: DataFrame, sample: list[str], class_col: str, value: str) ->
     return df.groupBy(*sample, class_col).agg(F.avg(finite_or_null(value)).alias("mean"))
 
 
-def five_number(df: DataFrame, by: list[str], value: str, exact: bool = True) -> DataFrame:
-    """Minimum, quartiles, maximum and whisker ends (last values within 1.5 IQR of the box)."""
+def five_number(
+    df: DataFrame, by: list[str], value: str, exact: bool = True, accuracy: int = 10000
+) -> DataFrame:
+    """Minimum, quartiles, maximum and whisker ends (last values within 1.5 IQR of the box).
+
+    With ``exact=False`` the quartiles are off by at most n / ``accuracy`` ranks.
+    """
     if exact:
         probs = {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}
         box = group_quantiles(df, by, value, probs)
@@ -82,7 +87,7 @@ def five_number(df: DataFrame, by: list[str], value: str, exact: bool = True) ->
             .agg(
                 F.count(v).alias("n"),
                 F.min(v).alias("min"),
-                F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).alias("_q"),
+                F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"),
                 F.max(v).alias("max"),
             )
             .where(F.col("n") > 0)

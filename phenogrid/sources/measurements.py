@@ -32,11 +32,14 @@ def read_measurements(
     sep: str = ",",
     header: bool = True,
     null_value: str = "NA",
+    corrupt: str | None = None,
 ) -> DataFrame:
     """Read delimited text or Parquet with a declared schema, so no inference pass runs.
 
     The format follows the suffix unless ``fmt`` is given; anything that is not Parquet or
-    ORC is read as delimited text, with ``null_value`` standing for a missing entry.
+    ORC is read as delimited text, with ``null_value`` standing for a missing entry. A line that
+    does not fit the schema is an error; with ``corrupt``, the name of one more text column, such
+    lines are kept there instead.
     """
     if fmt is None:
         suffix = path.rstrip("/").rsplit(".", 1)[-1]
@@ -44,6 +47,10 @@ def read_measurements(
     reader = spark.read.schema(schema)
     if fmt != "csv":
         return reader.format(fmt).load(path)
+    reader = reader.option("mode", "FAILFAST")
+    if corrupt is not None:
+        whole = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
     return (
         reader.option("sep", sep)
         .option("header", header)
