@@ -15,6 +15,7 @@ from ..plans.staging import stage
 from .cells import with_values
 
 _FINE = 256  # buckets per power of two
+MOST = 200_000  # rows of different values in a bucket
 
 
 def value_bucket(v: Column) -> Column:
@@ -28,11 +29,32 @@ def group_key(by: list[str] | tuple[str, ...]) -> Column:
     return F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
 
 
-def _bucketed(df: DataFrame, by: list[str] | tuple[str, ...], value: str) -> DataFrame:
+def _bucketed(
+    df: DataFrame, by: list[str] | tuple[str, ...], value: str, most: int = MOST
+) -> DataFrame:
+    """Rows ``_key, _v, _b`` with buckets ``_b`` that follow the order of the values.
+
+    The first cut is a step of the logarithm. Any bucket of more than ``most`` rows with different
+    values is cut again between its own smallest and largest value, until none is left; so a
+    bucket is bounded wherever a group's values lie. Rows are staged: they are read several times.
+    """
     rows = with_values(df, [], value).select(
         group_key(by).alias("_key"), F.col(value).cast("double").alias("_v")
     )
-    return rows.withColumn("_b", value_bucket(F.col("_v")))
+    rows = rows if hasattr(df, "_phenogrid_path") else stage(rows)
+    rows = rows.withColumn("_b", F.array(value_bucket(F.col("_v"))))
+    while True:
+        sizes = rows.groupBy("_key", "_b").agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+        parts = F.ceil(F.col("_n") / (most / 4)).cast("long").alias("_parts")
+        full = stage(sizes.where((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).select("*", parts))
+        if full.isEmpty():
+            return rows
+        step = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
+        step = F.least(step, F.col("_parts") - 1)
+        finer = F.when(F.col("_parts").isNull(), F.col("_b")).otherwise(F.concat("_b", F.array(step)))
+        rows = stage(rows.join(full, ["_key", "_b"], "left").select("_key", "_v", finer.alias("_b")))
 
 
 def _bucket_starts(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null
-from ..plans.staging import attach
+from ..plans.staging import attach, stage
 from .ordering import group_quantiles, quantile_points
 
 
@@ -77,6 +77,8 @@ def five_number(
 
     With ``exact=False`` the quartiles are off by at most n / ``accuracy`` ranks.
     """
+    # read by every pass; what came before, such as a join, runs once
+    df = stage(df.select(*by, finite_or_null(value).alias(value)))
     if exact:
         probs = {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}
         box = group_quantiles(df, by, value, probs)
@@ -102,7 +104,6 @@ def five_number(
             )
         )
     v = finite_or_null(value)
-    # Drawn again from the rows: the box is small, the rows are only scanned.
     boxed = attach(df.select(*by, v.alias("_v")), box, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
