@@ -7,17 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from . import chat, decontaminate, langid, lines, pieces, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -55,7 +51,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     span = F.struct("start", rank.alias("rank"), "kind", F.concat_ws(":", "kind", "start", "stop").alias("said"))
     per_blob = found.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     docs = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
-    joined = docs.join(per_blob, "blob", "left")
+    joined = docs.join(stage(per_blob), "blob", "left")  # staged: a blob of very many copies can then be split
     spans = F.coalesce("spans", F.array().cast(per_blob.schema["spans"].dataType))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     said = lambda xs: F.array_join(F.transform(xs, lambda s: s["said"]), ",")
@@ -189,8 +185,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     marks = table(spark, folder, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taught = docs.where(_fold(3) != 1).join(marks, "doc_id")
-    model = toxicity.fit(taught, "text", "toxic")
+    model = toxicity.fit(docs.where(_fold(3) != 1), "doc_id", "text", marks, "toxic")
     scored = toxicity.add_score(docs, "text", model, "score")
     return scored.select(
         "doc_id",

@@ -69,11 +69,13 @@ def subwords(text: str | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
         yield np.concatenate(out).astype(np.int32)
 
 
-def counts_of(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
+def sparse_counts(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of a text and how often each occurs."""
     total = np.zeros(buckets, np.int64)
     for piece in subwords(text, buckets):
         total += np.bincount(piece, minlength=buckets)
-    return total
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 @dataclass
@@ -157,9 +159,9 @@ def fit(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROW
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            made = [counts_of(t, buckets) for t in rows["text"]]
-            at = [np.flatnonzero(c) for c in made]
-            yield pd.DataFrame({"h": rows["_h"], "lang": rows["lang"], "b": at, "c": [c[i] for c, i in zip(made, at)]})
+            made = [sparse_counts(t, buckets) for t in rows["text"]]
+            b, c = ([m[i] for m in made] for i in (0, 1))
+            yield pd.DataFrame({"h": rows["_h"], "lang": rows["lang"].astype(object), "b": b, "c": c})
 
     made = sample.mapInPandas(run, "h long, lang string, b array<int>, c array<long>")
     rows = made.where(F.size("b") > 0).dropDuplicates(["h"]).orderBy("h").toLocalIterator()
@@ -180,6 +182,8 @@ def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [held.value.predict(t) for t in texts]
-            yield pd.DataFrame(found, columns=["lang", "score", "rejected"])
+            lang, score, rejected = zip(*found) if found else ((), (), ())
+            lang = pd.Series(lang, dtype=object)
+            yield pd.DataFrame({"lang": lang, "score": np.array(score, float), "rejected": np.array(rejected, bool)})
 
     return df.withColumn("language", F.pandas_udf(run, "lang string, score double, rejected boolean")(F.col(text)))

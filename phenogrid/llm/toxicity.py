@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
-from .sampling import hash_sample
+from .sampling import labelled_sample
 
 SAMPLE_ROWS = 6000  # per class
 BUCKETS = 1 << 19
@@ -28,7 +28,7 @@ ORDER = 5
 DISCOUNT = 0.75
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -120,8 +120,8 @@ class Model:
         if len(self.cache) > _CACHE:
             self.cache.clear()
             new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
             self.cache.update(zip(part, self.evidence(part).tolist()))
         return np.fromiter(map(self.cache.__getitem__, words), float, len(words))
 
@@ -203,23 +203,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, text: str, toxic: str, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
-    """Fit on at most ``sample_rows`` rows of different texts for each class (0, 1).
+def fit(
+    docs: DataFrame, key: str, text: str, marks: DataFrame, toxic: str, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS
+) -> Model:
+    """Fit on at most ``sample_rows`` different texts of ``docs`` for each class (0, 1), as
+    ``marks(key, toxic)`` labels them, one label per key.
 
     Four fifths of the sample, chosen by the hash of the text, are counted; the rest fits the
-    curve. Rows with NULL text or label are not used. Without both classes every score is 0.5.
+    curve. Rows with NULL text, key or label are not used. Without both classes every score is 0.5.
     """
-    rows = labelled.select(labelled[text].alias("text"), labelled[toxic].cast("int").alias("toxic"))
-    parts = [hash_sample(rows.where(F.col("toxic") == c), "text", sample_rows) for c in (0, 1)]
-
-    sample = stage(parts[0].union(parts[1]).dropDuplicates(["_h", "toxic"]))
+    sample = stage(labelled_sample(docs, key, text, marks.withColumnRenamed(toxic, "toxic"), "toxic", sample_rows))
     back = F.pmod(F.shiftright("_h", 9), F.lit(5)) == 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for c in (0, 1):
                 found = Counter(w for t in batch["text"][batch["toxic"] == c] for w in words_of(t))
-                yield pd.DataFrame({"word": list(found), "toxic": c, "n": list(found.values())})
+                word = pd.Series(list(found), dtype=object)  # plain strings: one Arrow array, however many
+                yield pd.DataFrame({"word": word, "toxic": c, "n": pd.Series(list(found.values()), dtype=int)})
 
     words = sample.where(~back).select("text", "toxic").mapInPandas(count, "word string, toxic int, n long")
     model = _tables(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")), buckets)
@@ -232,6 +233,7 @@ def fit(labelled: DataFrame, text: str, toxic: str, sample_rows: int = SAMPLE_RO
     marked = sample.where(back).select("toxic", F.pandas_udf(features, "a double, b double, c double, d double")("text").alias("f"))
     points = marked.select("toxic", "f.*").toPandas()
     unstage(sample)
+    held.unpersist()
     if points["toxic"].nunique() == 2:
         x = points[list("abcd")].to_numpy()
         model.shift, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
