@@ -198,7 +198,7 @@ def v4p(d: Data):
 def v5(d: Data):
     whole, pairs = permanova.permanova_gated(d.em(), "sample", "vector", "grp", permutations=199, seed=7)
     whole = whole.select(F.lit("all").alias("pair"), *whole.columns)
-    return whole if pairs is None else whole.unionByName(pairs)
+    return whole if pairs is None else whole.unionByName(pairs, allowMissingColumns=True)
 
 
 _CENTROID = f"""{EML}, c AS (SELECT dim, grp, count(*) AS n, var_pop(value) * count(*) AS q FROM eml GROUP BY 1, 2),
