@@ -152,3 +152,11 @@ def test_drop_repeats_odd_rows(spark):
     assert got == [(1, f"x\n{long}"), (2, "own words that no other text has\nx"), (3, ""), (3, ""), (4, "-"), (5, "")]
     assert lines.drop_repeats(df, "doc_id", "text").columns == df.columns
     assert lines.line_classes(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_long_lines_that_repeat_themselves(spark):
+    draw = random.Random(8)
+    phrases = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randint(9, 40))).strip() + ", " for _ in range(12)]
+    docs = [(3 * i + j, phrase * times + "x") for i, phrase in enumerate(phrases) for j, times in enumerate((300, 120, 45))]
+    rows = lines.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: r.class_key for r in rows} == {k: k - k % 3 for k, _ in docs}
