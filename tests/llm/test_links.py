@@ -160,3 +160,14 @@ def test_long_lines_that_repeat_themselves(spark):
     docs = [(3 * i + j, phrase * times + "x") for i, phrase in enumerate(phrases) for j, times in enumerate((300, 120, 45))]
     rows = lines.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
     assert {r.doc_id: r.class_key for r in rows} == {k: k - k % 3 for k, _ in docs}
+
+
+def test_clusters_in_large_bands(spark):
+    draw = random.Random(9)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template = letters(406)
+    fillings = [letters(58) for _ in range(400)]
+    # two fillings share 400 of 516 shingles, two lines of one filling 457 of 459
+    docs = [(2 * i + j, template + f[:-1] + end) for i, f in enumerate(fillings) for j, end in enumerate("01")]
+    rows = lines.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: r.class_key for r in rows} == {k: k - k % 2 for k, _ in docs}
