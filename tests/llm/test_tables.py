@@ -115,3 +115,11 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == [1, 5]
     docs.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_document_dedup_null_ids_and_repeats(spark):
+    own = [" ".join(f"{w}{i}" for i in range(30)) for w in ("sea", "hill", "town", "wood")]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (7, own[1]), (4, own[2]), (4, own[2]), (9, own[2]), (None, own[3]), (None, own[3])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.dedup_documents(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted((r.text, r.doc_id) for r in got) == sorted([(own[0], None), (own[1], 7), (own[2], 4), (own[3], None)])
