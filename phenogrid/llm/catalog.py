@@ -230,6 +230,6 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, folder: str, model: str = PIECES) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pieces.add_encoding(docs, "text", model, 4).select(
-        "doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"), "encoding.*"
+    return pieces.add_encoding(docs, "text", model, 4, ranked="segmentations").select(
+        "doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"), "encoding.*", "segmentations"
     )

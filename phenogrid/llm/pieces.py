@@ -123,14 +123,12 @@ class Pieces:
             out.append((-value, tuple(found)))
         return out
 
-    def of_part(self, part: str, n: int) -> tuple[tuple[int, ...], float, tuple[float, ...]]:
-        """Ids and score of the best segmentation of a part, and the losses of the next ones."""
+    def of_part(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The search of a part, kept for the next time the part occurs."""
         key = (part, n)
         found = self.cache.get(key)
         if found is None:
-            ranked = self.search(part, n)
-            score, ids = ranked[0]
-            found = (ids, score, tuple(score - s for s, _ in ranked[1:]))
+            found = self.search(part, n)
             if len(part) <= _LONG:
                 if len(self.cache) >= _CACHE:
                     self.cache.clear()
@@ -139,28 +137,32 @@ class Pieces:
 
     def scores(self, text: str | None, n: int) -> tuple[list[float], list[int]]:
         """Scores of the ``n`` best segmentations of a text, or of all if there are fewer, and the ids of the best."""
-        found = [self.of_part(p, n) for p in self.cut(self.normalise(text or ""))]
-        best: list[int] = []
-        for f in found:
-            best.extend(f[0])
-        total = math.fsum(f[1] for f in found)
-        # only the n - 1 parts with the smallest losses can differ in the n best
-        sums = [0.0]
-        for losses in heapq.nsmallest(n - 1, (f[2] for f in found if f[2])):
-            sums = heapq.nsmallest(n, (a + b for a in sums for b in (0.0, *losses)))
-        return [total - s for s in sums], best
+        found = self.encode(text, n)
+        return [s for s, _ in found], found[0][1]
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a text as (score, ids), or all if there are fewer."""
-        choices = [self.search(p, n) for p in self.cut(self.normalise(text or ""))]
+        choices = [self.of_part(p, n) for p in self.cut(self.normalise(text or ""))]
+        best: list[int] = []
+        starts = []
+        for c in choices:
+            starts.append(len(best))
+            best.extend(c[0][1])
         total = math.fsum(c[0][0] for c in choices)
-        losses = [[c[0][0] - s for s, _ in c] for c in choices]
-        at = sorted(heapq.nsmallest(n - 1, (i for i, c in enumerate(choices) if len(c) > 1), key=lambda i: losses[i][1]))
+        # only the n - 1 parts with the smallest losses can differ in the n best
+        near = heapq.nsmallest(n - 1, ((c[0][0] - c[1][0], i) for i, c in enumerate(choices) if len(c) > 1))
+        at = sorted(i for _, i in near)
+        losses = {i: [choices[i][0][0] - s for s, _ in choices[i]] for i in at}
         heap, seen, out = [(0.0, (0,) * len(at))], {(0,) * len(at)}, []
         while heap and len(out) < n:
             loss, pick = heapq.heappop(heap)
-            chosen = dict(zip(at, pick))
-            out.append((total - loss, [t for i, c in enumerate(choices) for t in c[chosen.get(i, 0)][1]]))
+            ids, done = [], 0
+            for i, k in zip(at, pick):
+                if k:
+                    ids += best[done : starts[i]]
+                    ids += choices[i][k][1]
+                    done = starts[i] + len(choices[i][0][1])
+            out.append((total - loss, ids + best[done:]))
             for j, i in enumerate(at):
                 more = (*pick[:j], pick[j] + 1, *pick[j + 1 :])
                 if more[j] < len(choices[i]) and more not in seen:
@@ -185,14 +187,17 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def add_encoding(df: DataFrame, text: str, model: str, n: int = 4, into: str = "encoding") -> DataFrame:
+def add_encoding(
+    df: DataFrame, text: str, model: str, n: int = 4, into: str = "encoding", ranked: str | None = None
+) -> DataFrame:
     """``df`` with ``encoding``: ``ids`` of the best segmentation, ``score``, ``nbest`` (scores of the
     ``n`` best, best first; fewer if there are fewer) and ``exact``, whether decoding the ids gives
-    the text back.
+    the text back. ``ranked`` names a column for the ``n`` best segmentations themselves, an array of
+    (score, ids), best first.
 
     Texts that hold the space sign U+2581 decode with spaces in its place, so ``exact`` is false
-    for them. NULL and empty texts have no ids and score 0; repeated rows are encoded alike. A
-    column of that name is replaced. The vocabulary is read once from ``model`` on the driver and
+    for them. NULL and empty texts have no ids and score 0; repeated rows are encoded alike. Columns
+    of those names are replaced. The vocabulary is read once from ``model`` on the driver and
     broadcast; its size does not depend on the data.
     """
     held = df.sparkSession.sparkContext.broadcast(Pieces.load(model).table)
@@ -204,13 +209,24 @@ def add_encoding(df: DataFrame, text: str, model: str, n: int = 4, into: str = "
         for texts in batches:
             rows = []
             for t in texts:
-                scores, ids = pieces.scores(t, n)
-                rows.append((np.array(ids, np.int32), scores[0], scores, pieces.decode(ids) == (t or "")))
-            ids, score, nbest, exact = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"ids": ids, "score": np.array(score, float), "nbest": nbest, "exact": np.array(exact, bool)})
-
-    schema = "ids array<int>, score double, nbest array<double>, exact boolean"
-    return df.withColumn(into, F.pandas_udf(run, schema)(F.col(text)))
+                found = pieces.encode(t, n)
+                score, ids = found[0]
+                # the ranks after the first, one behind the other
+                rest = np.array([i for _, more in found[1:] for i in more], np.int32) if ranked else np.empty(0, np.int32)
+                sizes = [len(more) for _, more in found]
+                rows.append((np.array(ids, np.int32), score, [s for s, _ in found], pieces.decode(ids) == (t or ""), rest, sizes))
+            ids, score, nbest, exact, rest, sizes = zip(*rows) if rows else ((),) * 6
+            out = {"ids": ids, "score": np.array(score, float), "nbest": nbest, "exact": np.array(exact, bool)}
+            yield pd.DataFrame(out | {"rest": rest, "sizes": sizes})
+
+    schema = "ids array<int>, score double, nbest array<double>, exact boolean, rest array<int>, sizes array<int>"
+    made = df.withColumn(into, F.pandas_udf(run, schema)(F.col(text)))
+    if ranked:
+        every, sizes = F.concat(f"{into}.ids", f"{into}.rest"), F.col(f"{into}.sizes")
+        start = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(1), lambda a, x: a + x)
+        cut = lambda score, i: F.struct(score.alias("score"), F.slice(every, start(i), F.element_at(sizes, i + 1)).alias("ids"))
+        made = made.withColumn(ranked, F.transform(f"{into}.nbest", cut))
+    return made.withColumn(into, F.struct(*[F.col(f"{into}.{c}") for c in ("ids", "score", "nbest", "exact")]))
 
 
 def decode(df: DataFrame, ids: str, model: str, into: str = "text") -> DataFrame:

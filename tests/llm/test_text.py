@@ -110,6 +110,21 @@ def test_encoding_round_trip(spark, documents):
     assert made.where("text is null").first().encoding.asDict() == {"ids": [], "score": 0.0, "nbest": [0.0], "exact": True}
 
 
+def test_ranked_segmentations(spark, vocabulary):
+    texts = [None, "", "the re", "a  b\n", "thin the", "the thin text and the other text", "日本 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    made = pieces.add_encoding(df, "text", catalog.PIECES, 4, ranked="segmentations").collect()
+    for r in made:
+        want = all_cuts(vocabulary, vocabulary.normalise(r.text or ""))[:4] if len(r.text or "") < 9 else vocabulary.encode(r.text, 4)
+        got = [(s.score, list(s.ids)) for s in r.segmentations]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want])
+        assert [s for s, _ in got] == r.encoding.nbest
+        assert got[0][1] == list(r.encoding.ids) and len({tuple(i) for _, i in got}) == len(got)
+        assert all(vocabulary.decode(i) == (r.text or "") for _, i in got)
+        assert all(sum(vocabulary.table[i][1] for i in ids) == pytest.approx(s) for s, ids in got if (r.text or "").isascii() and "\n" not in (r.text or ""))
+    assert max(len(r.segmentations) for r in made) == 4
+
+
 def slow_hits(text, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     doc = words(text)
