@@ -8,12 +8,11 @@ lineage, and it survives the loss of executors because it lives in shared storag
 The folder is the one named by ``spark.checkpoint.dir``. Only a session whose executors are
 threads of the driver (``local`` or ``local[n]``) may leave it unset; everywhere else a missing
 folder is an error. Staged tables are removed by :func:`unstage`, and at the latest when the
-Python process of the driver ends.
+driver's JVM ends, whether or not the session was stopped before.
 """
 
 from __future__ import annotations
 
-import atexit
 import re
 import tempfile
 import uuid
@@ -36,25 +35,25 @@ def scratch_folder(spark: SparkSession) -> str:
         if app not in _local_folders:
             _local_folders[app] = tempfile.mkdtemp(prefix="phenogrid-")
         shared = _local_folders[app]
-    folder = f"{shared.rstrip('/')}/phenogrid-{app}"
-    if folder not in _swept:
-        _swept.add(folder)
-        atexit.register(_remove, spark, folder)
-    return folder
+    return f"{shared.rstrip('/')}/phenogrid-{app}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in Spark's file system; nothing to do once the session has stopped."""
+def _place(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path in it."""
     context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the scratch folder."""
-    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    """A new path in the scratch folder, which goes when the driver's JVM ends."""
+    folder = scratch_folder(spark)
+    if folder not in _swept:
+        files, target = _place(spark, folder)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _swept.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -68,7 +67,8 @@ def stage(df: DataFrame) -> DataFrame:
 
 def unstage(df: DataFrame) -> None:
     """Delete a table made by :func:`stage`, once no plan reads it any more."""
-    _remove(df.sparkSession, df._phenogrid_path)
+    files, target = _place(df.sparkSession, df._phenogrid_path)
+    files.delete(target, True)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:

@@ -1,5 +1,10 @@
 """Shape of physical plans and of files."""
 
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +90,8 @@ class Session:
 def test_staging_folder():
     assert staging.scratch_folder(Session("yarn", "s3://shared/x/")) == "s3://shared/x/phenogrid-app-1"
     assert staging.scratch_folder(Session("yarn", None, "hdfs://c")) == "hdfs://c/phenogrid-app-1"
-    assert staging.scratch_folder(Session("yarn")) is None  # never a local folder on a cluster
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):  # never a local folder on a cluster
+        staging.scratch_folder(Session("yarn"))
     local = staging.scratch_folder(Session("local[2]"))
     assert local and staging.scratch_folder(Session("local[2]")) == local
 
@@ -96,6 +102,25 @@ def test_staged_table_is_a_scan(spark):
     assert all(folder.removeprefix("file:") in f for f in out.inputFiles()) and out.count() == 5
 
 
+@pytest.mark.parametrize("stop", [True, False])
+def test_nothing_stays_after_a_script(tmp_path, stop):
+    script = f"""
+from pyspark.sql import SparkSession
+from phenogrid.plans.staging import stage
+conf = {{"spark.master": "local[1]", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+assert stage(spark.range(3)).count() == 3
+{"spark.stop()" if stop else ""}
+"""
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", script], cwd=root, check=True, timeout=120, capture_output=True)
+    for _ in range(50):  # the JVM may outlive Python by a moment
+        if not list((tmp_path / "shared").glob("phenogrid-*")):
+            return
+        time.sleep(0.2)
+    raise AssertionError(list((tmp_path / "shared").rglob("*")))
+
+
 def test_text_files_round_trip(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("runs", T.StringType()), T.StructField("v", T.DoubleType())])
     (tmp_path / "in.csv").write_text('id,runs,v\nBLANK,NA,NA\nM1,"98, 100",10479264768\nM2,7,NA\n')
@@ -107,23 +132,3 @@ def test_text_files_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == [("M1", "98, 100", 10479264768.0), ("M2", "7", None)]
     sources.write_table(kept, str(tmp_path / "parts"), partition_by=("id",))
     assert (tmp_path / "parts" / "id=M1").is_dir()
-
-
-def test_without_a_shared_folder_plans_stay_whole(spark, data, monkeypatch):
-    from phenogrid.operators import multiple, permanova, posthoc, scale, summarize
-
-    ev, em = data.ev(), data.em()
-    jobs = [
-        lambda: summarize.five_number(ev, ["feature"], "value"),
-        lambda: posthoc.pairwise_contrasts(ev, "feature", "value", "treatment"),
-        lambda: multiple.p_adjust(data.pvals(), "p", "fdr", within=("family",)),
-        lambda: scale.quantile_normalise(ev, "feature", "value"),
-        lambda: permanova.permanova(em, "sample", "vector", "grp", "euclidean", 19),
-    ]
-
-    def rows(df):
-        return sorted([tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()], key=str)
-
-    staged = [rows(job()) for job in jobs]
-    monkeypatch.setattr(staging, "scratch_folder", lambda spark: None)
-    assert [rows(job()) for job in jobs] == staged
