@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import chat, decontaminate, langid, lines, pieces, secrets, sharding, simhash, toxicity, vectors
+from . import chat, decontaminate, langid, lines, phrases, pieces, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,3 +233,31 @@ def op8(spark: SparkSession, folder: str, model: str = PIECES) -> DataFrame:
     return pieces.add_encoding(docs, "text", model, 4, ranked="segmentations").select(
         "doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"), "encoding.*", "segmentations"
     )
+
+
+# Pieces, words and phrases in SQL; a phrase is its words with a space between.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_phrase_collocations",
+    f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+ total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+ f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, k, count(*) AS f FROM
+ (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE len(w) >= k)
+ GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT lang, g, k, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+ cuts AS (SELECT lang, g, a, i, array_to_string(w[1:i], ' ') AS g1, array_to_string(w[i + 1:k], ' ') AS g2 FROM
+ (SELECT *, unnest(range(1, k)) AS i FROM c)),
+ scored AS (SELECT cuts.*, x.f AS l, y.f AS r, n, 1000 * CAST(a AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+ FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = g1 JOIN f y ON y.lang = cuts.lang AND y.g = g2 JOIN total t ON t.lang = cuts.lang),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+ inner_parts AS (SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT lang, a AS f, w, m, unnest(range(1, k - m + 2)) AS i
+ FROM c, (VALUES (2), (3), (4)) AS s(m) WHERE m < k)),
+ kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts o WHERE o.lang = b.lang AND o.g = b.g AND o.f >= b.a)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+ SELECT lang, rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"), "text", "lang")
