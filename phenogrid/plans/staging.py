@@ -56,10 +56,11 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the scratch folder and return it as a scan. Runs a job."""
+def stage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and return it as a scan. Runs a job. ``options`` are
+    those of the Parquet writer."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._phenogrid_path = path
     return staged
