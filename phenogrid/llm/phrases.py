@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
 
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 BLOOM_BITS = 1 << 26
 UNKNOWN = "und"
 # A-Z to lower case, ends of pieces to line feed, tab to space
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
 )
+# a shard is a large row: one row group each, so that no reader holds several
+_ROW_GROUPS = {"parquet.block.size": "1048576", "parquet.block.size.row.check.min": "1"}
 _SHARDS = "lang string, n long, ids binary, hashes binary, words array<string>"
 
 
@@ -125,11 +127,17 @@ def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbers(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word numbers and word hashes of a shard, without a copy."""
+    ids, hashes = batch.column(column)[row].as_buffer(), batch.column(column + 1)[row].as_buffer()
+    return np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64)
+
+
 def _starts(ids: np.ndarray, words: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Where a phrase of ``len(known) + 1`` words starts whose shorter phrases pass the filters of
     ``known`` (by number of words), and the hashes of these phrases."""
     passes = _inside(known[0], words) if known else np.ones(len(words), bool)
-    at = np.flatnonzero(np.append(passes, False)[ids])  # the end of a piece is number -1
+    at = np.flatnonzero(np.append(passes, False)[ids]).astype(np.int32)  # the end of a piece is number -1
     h = words[ids[at]]
     for size, bits in enumerate([*known[1:], None] if known else [], 2):
         follows = np.flatnonzero(at[1:] == at[:-1] + 1)
@@ -144,6 +152,15 @@ def _starts(ids: np.ndarray, words: np.ndarray, known: list[np.ndarray]) -> tupl
 
 def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place, hash, count) of every different phrase among those that start at ``at``."""
+    if size == 1:  # the number of a word says it all
+        word = ids[at]
+        first = np.zeros(word.max(initial=-1) + 1, np.int32)
+        first[word[::-1]] = at[::-1]
+        times = np.bincount(word)
+        found = np.flatnonzero(times)
+        key = np.zeros(len(first), np.uint64)
+        key[word] = h
+        return first[found], key[found], times[found]
     order = np.argsort(h, kind="stable")
     for exact in (False, True):
         if exact:  # different phrases of one hash
@@ -167,8 +184,8 @@ def _mined(shards: DataFrame, known: list, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [b.value for b in known]
         for batch in batches:
-            for n, total, raw, hashed in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                ids, words = np.frombuffer(raw, np.int32), np.frombuffer(hashed, np.uint64)
+            for row, (n, total) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                ids, words = _numbers(batch, 2, row)
                 at, h = _starts(ids, words, filters)
                 _, key, times = _groups(ids, at, h, size)
                 frequent = key[times >= max(1, -(-least * n // total))]
@@ -185,8 +202,8 @@ def _counted(shards: DataFrame, known: list, wanted, least: int) -> DataFrame:
         filters = [b.value for b in known]
         for batch in batches:
             texts = batch.column(3)
-            for row, (lang, raw, hashed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                ids, words = np.frombuffer(raw, np.int32), np.frombuffer(hashed, np.uint64)
+            for row, lang in enumerate(batch.column(0).to_pylist()):
+                ids, words = _numbers(batch, 1, row)
                 at, h = _starts(ids, words, filters)
                 kept = _inside(wanted.value, h)
                 place, key, times = _groups(ids, at[kept], h[kept], size)
@@ -204,7 +221,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest:
     """``(frequent, totals)``: ``lang, phrase, size, f`` of all phrases of up to ``longest`` words that
     occur at least ``least`` times, and ``lang, n``, all words of a language. Both are staged."""
     context = docs.sparkSession.sparkContext
-    shards = stage(shards_of(docs, text, lang, shard_words))
+    shards = stage(shards_of(docs, text, lang, shard_words), **_ROW_GROUPS)
     totals = stage(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     shares = shards.join(totals.withColumnRenamed("n", "total"), "lang")
     known, levels = [], []
