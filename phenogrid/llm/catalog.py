@@ -15,8 +15,10 @@ ORACLES: dict[str, str] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand."""
+    """Texts are long rows: hand them to Python a few hundred at a time, not ten thousand, and fewer
+    where they are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def query(name: str, sql: str | None = None):
