@@ -113,9 +113,9 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     cells = bits.groupBy(F.shiftright("p", 6).alias("cell")).agg(
         F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")
     )
-    rows = cells.toPandas()
+    rows = cells.toArrow()
     out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    out[rows["cell"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
