@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 BLOOM_BITS = 1 << 26
 UNKNOWN = "und"
 # A-Z to lower case, ends of pieces to line feed, tab to space
