@@ -1,12 +1,13 @@
 """Collocations by SON partitioning.
 
-1. Texts become shards: the words of one language, numbered by the shard's own vocabulary, at most
-   ``shard_words`` words each. A shard is one row, so every later pass reads numbers, not text.
-2. Level by level (phrases of 1, 2, ... words) every shard is mined completely at the support
-   lowered in proportion, ``ceil(least * words of the shard / words of the language)``. A phrase
-   that reaches ``least`` overall reaches that in one shard at least, so the union of the locally
-   frequent phrases misses none.
-3. All candidates of the union are then counted in all shards, exactly, and their counts added up.
+1. Texts become chunks: some ten thousand words of one language, numbered by the chunk's own
+   vocabulary. Every later pass reads numbers, not text.
+2. Level by level (phrases of 1, 2, ... words) the chunks of a task form shards of at most
+   ``shard_words`` words of one language. Every shard is mined completely at the support lowered in
+   proportion, ``ceil(least * words of the shard / words of the language)``. A phrase that reaches
+   ``least`` overall reaches that in one shard at least, whatever chunks a shard is made of, so
+   the union of the locally frequent phrases misses none.
+3. All candidates of the union are then counted in all chunks, exactly, and their counts added up.
 
 With many shards the lowered support comes down to one and prunes nothing by itself. What bounds
 the work then is the order of levels: a phrase is only looked at where both phrases one word
@@ -17,7 +18,7 @@ lost and no count changes, since counts are kept by the words themselves, never
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -30,19 +31,18 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS, CHUNK_WORDS = 2_000_000, 1 << 16
 BLOOM_BITS = 1 << 26
+_ROWS_OUT = 1 << 16
 UNKNOWN = "und"
 # A-Z to lower case, ends of pieces to line feed, tab to space
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
 )
-# a shard is a large row: one row group each, so that no reader holds several
-_ROW_GROUPS = {"parquet.block.size": "1048576", "parquet.block.size.row.check.min": "1"}
-_SHARDS = "lang string, n long, ids binary, hashes binary, words array<string>"
+_CHUNKS = "lang string, n long, ids binary, hashes binary, words array<string>"
 
 
-class _Shard:
+class _Chunk:
     """Words of one language as numbers; -1 ends a piece."""
 
     def __init__(self):
@@ -65,7 +65,7 @@ class _Shard:
         ids[ids < 0] = -1
         words = list(self.numbers)[2:]
         seed = xxhash.xxh64_intdigest(lang.encode())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
         texts = pa.array(words, pa.binary()).cast(pa.string())
         columns = [
             pa.array([lang]),
@@ -77,20 +77,20 @@ class _Shard:
         return pa.RecordBatch.from_arrays(columns, ["lang", "n", "ids", "hashes", "words"])
 
 
-def shards_of(docs: DataFrame, text: str, lang: str, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Rows ``lang, n, ids, hashes, words``: at most about ``shard_words`` words of one language, or
-    the words of one longer text. A task holds at most twice that many, over all languages."""
+def chunks_of(docs: DataFrame, text: str, lang: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """Rows ``lang, n, ids, hashes, words`` of about ``chunk_words`` words of one language, or the
+    words of one longer text. A task holds at most sixteen times that many, over all languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, _Shard] = {}
+        held: dict[str, _Chunk] = {}
         total = 0
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard = held.setdefault(name, _Shard())
-                before = shard.held
-                shard.add(body)
-                total += shard.held - before
-                while total >= 2 * shard_words or (name in held and held[name].held >= shard_words):
+                chunk = held.setdefault(name, _Chunk())
+                before = chunk.held
+                chunk.add(body)
+                total += chunk.held - before
+                while total >= 16 * chunk_words or (name in held and held[name].held >= chunk_words):
                     full = max(held, key=lambda k: held[k].held)
                     total -= held[full].held
                     yield held.pop(full).row(full)
@@ -98,7 +98,7 @@ def shards_of(docs: DataFrame, text: str, lang: str, shard_words: int = SHARD_WO
             yield held.pop(name).row(name)
 
     told = docs.select(F.coalesce(docs[lang], F.lit(UNKNOWN)), docs[text].cast("binary")).toDF("lang", "body")
-    return told.where(F.length("body") > 0).mapInArrow(run, _SHARDS).where("n > 0")
+    return told.where(F.length("body") > 0).mapInArrow(run, _CHUNKS).where("n > 0")
 
 
 def _places(hashes: Column) -> Column:
@@ -128,22 +128,23 @@ def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _numbers(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word numbers and word hashes of a shard, without a copy."""
-    ids, hashes = batch.column(column)[row].as_buffer(), batch.column(column + 1)[row].as_buffer()
-    return np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64)
+    """The word numbers of a chunk, and the word hash at every place (0 ends a piece)."""
+    ids = np.frombuffer(batch.column(column)[row].as_buffer(), np.int32)
+    hashes = np.frombuffer(batch.column(column + 1)[row].as_buffer(), np.uint64)
+    return ids, np.append(hashes, np.uint64(0))[ids]  # the end of a piece is number -1
 
 
-def _starts(ids: np.ndarray, words: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _starts(words: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Where a phrase of ``len(known) + 1`` words starts whose shorter phrases pass the filters of
-    ``known`` (by number of words), and the hashes of these phrases."""
-    passes = _inside(known[0], words) if known else np.ones(len(words), bool)
-    at = np.flatnonzero(np.append(passes, False)[ids]).astype(np.int32)  # the end of a piece is number -1
-    h = words[ids[at]]
-    for size, bits in enumerate([*known[1:], None] if known else [], 2):
-        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        at, h = at[follows], h[follows]
-        h = (h ^ (words[ids[at + size - 1]] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+    ``known`` (by number of words), and the hashes of these phrases. ``words`` are word hashes."""
+    at = np.flatnonzero(words).astype(np.int32)
+    h = words[at]
+    for size, bits in enumerate([*known, None], 1):
+        if size > 1:
+            follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at, h = at[follows], h[follows]
+            h = (h ^ (words[at + (size - 1)] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
         if bits is not None:
             found = _inside(bits, h)
             at, h = at[found], h[found]
@@ -151,7 +152,7 @@ def _starts(ids: np.ndarray, words: np.ndarray, known: list[np.ndarray]) -> tupl
 
 
 def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place, hash, count) of every different phrase among those that start at ``at``."""
+    """(first place, hash, count) of every different phrase, by its words, among those that start at ``at``."""
     if size == 1:  # the number of a word says it all
         word = ids[at]
         first = np.zeros(word.max(initial=-1) + 1, np.int32)
@@ -176,25 +177,41 @@ def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[
     return place[first], key[first], np.diff(np.append(first, len(at)))
 
 
-def _mined(shards: DataFrame, known: list, least: int) -> DataFrame:
-    """Hashes ``h`` of the phrases that are frequent in some shard. ``shards`` have ``total``, the
-    words of their language."""
-    size = len(known) + 1
+def _mined(chunks: DataFrame, known: list, least: int, shard_words: int) -> DataFrame:
+    """Hashes ``h`` of the phrases that are frequent in some shard. ``chunks`` have ``total``, the
+    words of their language. A task holds at most twice ``shard_words`` words, over all languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [b.value for b in known]
+        held: dict[str, list[np.ndarray]] = {}
+        size: Counter = Counter()  # words of each shard
+
+        def frequent(name: str, total: int) -> Iterator[pa.RecordBatch]:
+            _, h = _starts(np.concatenate(held.pop(name)), filters)
+            support = max(1, -(-least * size.pop(name) // total))
+            h.sort()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            times = np.diff(np.append(first, len(h)))
+            keys = h[first[times >= support]].view(np.int64)
+            for at in range(0, len(keys), _ROWS_OUT):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + _ROWS_OUT])], ["h"])
+
+        totals = {}
         for batch in batches:
-            for row, (n, total) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                ids, words = _numbers(batch, 2, row)
-                at, h = _starts(ids, words, filters)
-                _, key, times = _groups(ids, at, h, size)
-                frequent = key[times >= max(1, -(-least * n // total))]
-                yield pa.RecordBatch.from_arrays([pa.array(frequent.view(np.int64))], ["h"])
+            for row, (name, n, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                held.setdefault(name, []).append(_numbers(batch, 3, row)[1])
+                totals[name] = total
+                size[name] += n
+                while size[name] >= shard_words or size.total() >= 2 * shard_words:
+                    full = max(size, key=size.__getitem__)
+                    yield from frequent(full, totals[full])
+        for name in list(held):
+            yield from frequent(name, totals[name])
 
-    return shards.select("n", "total", "ids", "hashes").mapInArrow(run, "h long").distinct()
+    return chunks.select("lang", "n", "total", "ids", "hashes").mapInArrow(run, "h long").distinct()
 
 
-def _counted(shards: DataFrame, known: list, wanted, least: int) -> DataFrame:
+def _counted(chunks: DataFrame, known: list, wanted, least: int) -> DataFrame:
     """``(lang, phrase, h, f)`` of all phrases of the filter ``wanted`` that occur ``least`` times overall."""
     size = len(known) + 1
 
@@ -204,7 +221,7 @@ def _counted(shards: DataFrame, known: list, wanted, least: int) -> DataFrame:
             texts = batch.column(3)
             for row, lang in enumerate(batch.column(0).to_pylist()):
                 ids, words = _numbers(batch, 1, row)
-                at, h = _starts(ids, words, filters)
+                at, h = _starts(words, filters)
                 kept = _inside(wanted.value, h)
                 place, key, times = _groups(ids, at[kept], h[kept], size)
                 spelled = [texts[row].values.take(pa.array(ids[place + j])) for j in range(size)]
@@ -212,7 +229,7 @@ def _counted(shards: DataFrame, known: list, wanted, least: int) -> DataFrame:
                 columns = [pa.array([lang] * len(key), pa.string()), phrase, pa.array(key.view(np.int64)), pa.array(times, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "h", "f"])
 
-    each = shards.select("lang", "ids", "hashes", "words").mapInArrow(run, "lang string, phrase string, h long, f long")
+    each = chunks.select("lang", "ids", "hashes", "words").mapInArrow(run, "lang string, phrase string, h long, f long")
     total = each.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
     return total.where(F.col("f") >= least)
 
@@ -221,13 +238,13 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest:
     """``(frequent, totals)``: ``lang, phrase, size, f`` of all phrases of up to ``longest`` words that
     occur at least ``least`` times, and ``lang, n``, all words of a language. Both are staged."""
     context = docs.sparkSession.sparkContext
-    shards = stage(shards_of(docs, text, lang, shard_words), **_ROW_GROUPS)
-    totals = stage(shards.groupBy("lang").agg(F.sum("n").alias("n")))
-    shares = shards.join(totals.withColumnRenamed("n", "total"), "lang")
+    chunks = stage(chunks_of(docs, text, lang))
+    totals = stage(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
+    shares = chunks.join(totals.withColumnRenamed("n", "total"), "lang")
     known, levels = [], []
     for size in range(1, longest + 1):
-        wanted = context.broadcast(bloom(_mined(shares, known, least)))
-        found = stage(_counted(shards, known, wanted, least).withColumn("size", F.lit(size)))
+        wanted = context.broadcast(bloom(_mined(shares, known, least, shard_words)))
+        found = stage(_counted(chunks, known, wanted, least).withColumn("size", F.lit(size)))
         wanted.unpersist()
         levels.append(found)
         if size == longest or found.isEmpty():
@@ -237,7 +254,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest:
     for found in levels[1:]:
         frequent = frequent.unionByName(found)
     frequent = stage(frequent.select("lang", "phrase", "size", "f"))
-    for table in [shards, *levels]:
+    for table in [chunks, *levels]:
         unstage(table)
     for held in known:
         held.unpersist()
