@@ -39,6 +39,8 @@ UNKNOWN = "und"
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
 )
+# rows are large: without these settings Parquet would first look at the size of a page after a hundred
+_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": "8388608"}
 _CHUNKS = "lang string, n long, ids binary, hashes binary, words array<string>"
 
 
@@ -238,7 +240,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest:
     """``(frequent, totals)``: ``lang, phrase, size, f`` of all phrases of up to ``longest`` words that
     occur at least ``least`` times, and ``lang, n``, all words of a language. Both are staged."""
     context = docs.sparkSession.sparkContext
-    chunks = stage(chunks_of(docs, text, lang))
+    chunks = stage(chunks_of(docs, text, lang), **_PAGES)
     totals = stage(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
     shares = chunks.join(totals.withColumnRenamed("n", "total"), "lang")
     known, levels = [], []
