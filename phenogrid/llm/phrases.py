@@ -1,19 +1,19 @@
 """Collocations by SON partitioning.
 
 1. Texts become chunks: some ten thousand words of one language, numbered by the chunk's own
-   vocabulary. Every later pass reads numbers, not text.
-2. Level by level (phrases of 1, 2, ... words) the chunks of a task form shards of at most
-   ``shard_words`` words of one language. Every shard is mined completely at the support lowered in
-   proportion, ``ceil(least * words of the shard / words of the language)``. A phrase that reaches
-   ``least`` overall reaches that in one shard at least, whatever chunks a shard is made of, so
-   the union of the locally frequent phrases misses none.
+   vocabulary. Every later pass reads numbers, not text. The chunks of every ``shards``-th task are
+   a shard, so a shard is a fixed part of the data, however large that is.
+2. Level by level (phrases of 1, 2, ... words) every shard is mined completely at the support
+   lowered in proportion, ``ceil(least * words of the shard / words of the language)``. Tasks add up
+   what they hold, and their sums, by hash, meet in a shuffle. A phrase that reaches ``least``
+   overall reaches its share in one shard at least, so the union of the locally frequent phrases
+   misses none.
 3. All candidates of the union are then counted in all chunks, exactly, and their counts added up.
 
-With many shards the lowered support comes down to one and prunes nothing by itself. What bounds
-the work then is the order of levels: a phrase is only looked at where both phrases one word
-shorter are frequent overall. Tasks learn of the frequent phrases and of the candidates through
-Bloom filters of a fixed size. A false positive costs a count that is dropped later; no phrase is
-lost and no count changes, since counts are kept by the words themselves, never by hashes.
+A phrase is only looked at where both phrases one word shorter are frequent overall. Tasks learn
+of the frequent phrases and of the candidates through Bloom filters of a fixed size. Two phrases of
+one hash, or a false positive, cost a count that is dropped later; no phrase is lost and no count
+changes, since counts are kept by the words themselves, never by hashes.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
 
-SHARD_WORDS, CHUNK_WORDS = 2_000_000, 1 << 16
+SHARDS, TASK_WORDS, CHUNK_WORDS = 8, 2_000_000, 1 << 16
 BLOOM_BITS = 1 << 26
 _ROWS_OUT = 1 << 16
 UNKNOWN = "und"
@@ -41,7 +42,7 @@ _TABLE = bytes(
 )
 # rows are large: without these settings Parquet would first look at the size of a page after a hundred
 _PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": "8388608"}
-_CHUNKS = "lang string, n long, ids binary, hashes binary, words array<string>"
+_CHUNKS = "lang string, shard int, n long, ids binary, hashes binary, words array<string>"
 
 
 class _Chunk:
@@ -62,7 +63,7 @@ class _Chunk:
         self.parts.append(ids)
         self.held += len(ids)
 
-    def row(self, lang: str) -> pa.RecordBatch:
+    def row(self, lang: str, shard: int) -> pa.RecordBatch:
         ids = np.concatenate(self.parts) - 2  # the two signs have the first numbers
         ids[ids < 0] = -1
         words = list(self.numbers)[2:]
@@ -71,21 +72,22 @@ class _Chunk:
         texts = pa.array(words, pa.binary()).cast(pa.string())
         columns = [
             pa.array([lang]),
+            pa.array([shard], pa.int32()),
             pa.array([int((ids >= 0).sum())], pa.int64()),
             pa.array([ids.tobytes()], pa.binary()),
             pa.array([hashes.tobytes()], pa.binary()),
             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), texts),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "n", "ids", "hashes", "words"])
+        return pa.RecordBatch.from_arrays(columns, ["lang", "shard", "n", "ids", "hashes", "words"])
 
 
-def chunks_of(docs: DataFrame, text: str, lang: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Rows ``lang, n, ids, hashes, words`` of about ``chunk_words`` words of one language, or the
+def chunks_of(docs: DataFrame, text: str, lang: str, shards: int = SHARDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """Rows ``lang, shard, n, ids, hashes, words`` of about ``chunk_words`` words of one language, or the
     words of one longer text. A task holds at most sixteen times that many, over all languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Chunk] = {}
-        total = 0
+        total, shard = 0, TaskContext.get().partitionId() % shards
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chunk = held.setdefault(name, _Chunk())
@@ -95,9 +97,9 @@ def chunks_of(docs: DataFrame, text: str, lang: str, chunk_words: int = CHUNK_WO
                 while total >= 16 * chunk_words or (name in held and held[name].held >= chunk_words):
                     full = max(held, key=lambda k: held[k].held)
                     total -= held[full].held
-                    yield held.pop(full).row(full)
+                    yield held.pop(full).row(full, shard)
         for name in list(held):
-            yield held.pop(name).row(name)
+            yield held.pop(name).row(name, shard)
 
     told = docs.select(F.coalesce(docs[lang], F.lit(UNKNOWN)), docs[text].cast("binary")).toDF("lang", "body")
     return told.where(F.length("body") > 0).mapInArrow(run, _CHUNKS).where("n > 0")
@@ -179,38 +181,39 @@ def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[
     return place[first], key[first], np.diff(np.append(first, len(at)))
 
 
-def _mined(chunks: DataFrame, known: list, least: int, shard_words: int) -> DataFrame:
-    """Hashes ``h`` of the phrases that are frequent in some shard. ``chunks`` have ``total``, the
-    words of their language. A task holds at most twice ``shard_words`` words, over all languages."""
+def _mined(chunks: DataFrame, known: list, supports: DataFrame, task_words: int) -> DataFrame:
+    """Hashes ``h`` of the phrases that reach the support of some shard. A task adds up its phrases
+    over at most twice ``task_words`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [b.value for b in known]
-        held: dict[str, list[np.ndarray]] = {}
-        size: Counter = Counter()  # words of each shard
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        size: Counter = Counter()  # words of each part of a shard
 
-        def frequent(name: str, total: int) -> Iterator[pa.RecordBatch]:
-            _, h = _starts(np.concatenate(held.pop(name)), filters)
-            support = max(1, -(-least * size.pop(name) // total))
+        def summed(key: tuple[str, int]) -> Iterator[pa.RecordBatch]:
+            _, h = _starts(np.concatenate(held.pop(key)), filters)
+            del size[key]
             h.sort()
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             times = np.diff(np.append(first, len(h)))
-            keys = h[first[times >= support]].view(np.int64)
-            for at in range(0, len(keys), _ROWS_OUT):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + _ROWS_OUT])], ["h"])
+            h = h[first].view(np.int64)
+            for at in range(0, len(h), _ROWS_OUT):
+                part = slice(at, at + _ROWS_OUT)
+                named = [pa.array([k] * len(h[part]), kind) for k, kind in zip(key, (pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(h[part]), pa.array(times[part], pa.int64())], ["lang", "shard", "h", "n"])
 
-        totals = {}
         for batch in batches:
-            for row, (name, n, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                held.setdefault(name, []).append(_numbers(batch, 3, row)[1])
-                totals[name] = total
-                size[name] += n
-                while size[name] >= shard_words or size.total() >= 2 * shard_words:
-                    full = max(size, key=size.__getitem__)
-                    yield from frequent(full, totals[full])
-        for name in list(held):
-            yield from frequent(name, totals[name])
+            for row, (lang, shard, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                held.setdefault((lang, shard), []).append(_numbers(batch, 3, row)[1])
+                size[lang, shard] += n
+                while size.total() >= 2 * task_words:
+                    yield from summed(max(size, key=size.__getitem__))
+        for key in list(held):
+            yield from summed(key)
 
-    return chunks.select("lang", "n", "total", "ids", "hashes").mapInArrow(run, "h long").distinct()
+    sums = chunks.select("lang", "shard", "n", "ids", "hashes").mapInArrow(run, "lang string, shard int, h long, n long")
+    local = sums.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")).join(supports, ["lang", "shard"])
+    return local.where(F.col("n") >= F.col("support")).select("h").distinct()
 
 
 def _counted(chunks: DataFrame, known: list, wanted, least: int) -> DataFrame:
@@ -236,16 +239,17 @@ def _counted(chunks: DataFrame, known: list, wanted, least: int) -> DataFrame:
     return total.where(F.col("f") >= least)
 
 
-def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest: int, shard_words: int = SHARD_WORDS):
+def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest: int, shards: int = SHARDS, task_words: int = TASK_WORDS):
     """``(frequent, totals)``: ``lang, phrase, size, f`` of all phrases of up to ``longest`` words that
     occur at least ``least`` times, and ``lang, n``, all words of a language. Both are staged."""
     context = docs.sparkSession.sparkContext
-    chunks = stage(chunks_of(docs, text, lang), **_PAGES)
+    chunks = stage(chunks_of(docs, text, lang, shards), **_PAGES)
     totals = stage(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
-    shares = chunks.join(totals.withColumnRenamed("n", "total"), "lang")
+    parts = chunks.groupBy("lang", "shard").agg(F.sum("n").cast("decimal(20,0)").alias("part")).join(totals, "lang")
+    supports = stage(parts.select("lang", "shard", F.ceil(F.lit(least) * F.col("part") / F.col("n")).cast("long").alias("support")))
     known, levels = [], []
     for size in range(1, longest + 1):
-        wanted = context.broadcast(bloom(_mined(shares, known, least, shard_words)))
+        wanted = context.broadcast(bloom(_mined(chunks, known, supports, task_words)))
         found = stage(_counted(chunks, known, wanted, least).withColumn("size", F.lit(size)))
         wanted.unpersist()
         levels.append(found)
@@ -256,7 +260,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest:
     for found in levels[1:]:
         frequent = frequent.unionByName(found)
     frequent = stage(frequent.select("lang", "phrase", "size", "f"))
-    for table in [chunks, *levels]:
+    for table in [chunks, supports, *levels]:
         unstage(table)
     for held in known:
         held.unpersist()
@@ -271,7 +275,7 @@ def _inner(size: Column, least: int) -> Column:
 
 
 def collocations(
-    docs: DataFrame, text: str, lang: str, least: int = 100, longest: int = 5, top: int = 2000, shard_words: int = SHARD_WORDS
+    docs: DataFrame, text: str, lang: str, least: int = 100, longest: int = 5, top: int = 2000, shards: int = SHARDS
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: of each language the first ``top`` phrases of 2 to
     ``longest`` words that occur ``a >= least`` times, by score, ``a`` (both falling) and phrase.
@@ -287,7 +291,7 @@ def collocations(
     the bytes of the phrase; other columns are ignored, whatever their names. Arithmetic is in
     whole numbers of 38 digits, and running out of them is an error.
     """
-    frequent, totals = frequent_phrases(docs, text, lang, least, longest, shard_words)
+    frequent, totals = frequent_phrases(docs, text, lang, least, longest, shards)
     words = F.split("phrase", " ")
     phrases = frequent.where("size > 1")
     # parts of frequent phrases are frequent: both joins find every part
