@@ -5,9 +5,9 @@
    a shard, so a shard is a fixed part of the data, however large that is.
 2. Level by level (phrases of 1, 2, ... words) every shard is mined completely at the support
    lowered in proportion, ``ceil(least * words of the shard / words of the language)``. Tasks add up
-   what they hold, and their sums, by hash, meet in a shuffle. A phrase that reaches ``least``
-   overall reaches its share in one shard at least, so the union of the locally frequent phrases
-   misses none.
+   what they hold and send their sums as sorted lists of 40-bit hashes, of which only the gaps are
+   stored; lists of one range of hashes meet in a task. A phrase that reaches ``least`` overall
+   reaches its share in one shard at least, so the union of the locally frequent phrases misses none.
 3. All candidates of the union are then counted in all chunks, exactly, and their counts added up.
 
 A phrase is only looked at where both phrases one word shorter are frequent overall. Tasks learn
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage, unstage
 
 SHARDS, TASK_WORDS, CHUNK_WORDS = 8, 2_000_000, 1 << 16
-BLOOM_BITS = 1 << 26
-_ROWS_OUT = 1 << 16
+BLOOM_BITS, HASH_BITS = 1 << 26, 40
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 UNKNOWN = "und"
 # A-Z to lower case, ends of pieces to line feed, tab to space
 _TABLE = bytes(
@@ -67,7 +67,7 @@ class _Chunk:
         ids = np.concatenate(self.parts) - 2  # the two signs have the first numbers
         ids[ids < 0] = -1
         words = list(self.numbers)[2:]
-        seed = xxhash.xxh64_intdigest(lang.encode())
+        seed = _seed(lang)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
         texts = pa.array(words, pa.binary()).cast(pa.string())
         columns = [
@@ -123,10 +123,21 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _key(narrow: np.ndarray) -> np.ndarray:
+    """The number by which a filter knows a hash of HASH_BITS bits."""
+    mixed = narrow * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def _narrow(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - HASH_BITS)
+
+
 def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), bool)
+    keys = _key(_narrow(hashes))
     for shift in (0, 32):
-        p = (hashes >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
+        p = (keys >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
         out &= ((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
     return out
 
@@ -138,6 +149,12 @@ def _numbers(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray,
     return ids, np.append(hashes, np.uint64(0))[ids]  # the end of a piece is number -1
 
 
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase with one more word."""
+    mixed = (h ^ (word * _MIX[0])) * _MIX[1]
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def _starts(words: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Where a phrase of ``len(known) + 1`` words starts whose shorter phrases pass the filters of
     ``known`` (by number of words), and the hashes of these phrases. ``words`` are word hashes."""
@@ -147,25 +164,22 @@ def _starts(words: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, np.
         if size > 1:
             follows = np.flatnonzero(at[1:] == at[:-1] + 1)
             at, h = at[follows], h[follows]
-            h = (h ^ (words[at + (size - 1)] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
+            h = _longer(h, words[at + (size - 1)])
         if bits is not None:
             found = _inside(bits, h)
             at, h = at[found], h[found]
     return at, h
 
 
-def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place, hash, count) of every different phrase, by its words, among those that start at ``at``."""
+def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, count) of every different phrase, by its words, among those that start at ``at``."""
     if size == 1:  # the number of a word says it all
         word = ids[at]
         first = np.zeros(word.max(initial=-1) + 1, np.int32)
         first[word[::-1]] = at[::-1]
         times = np.bincount(word)
         found = np.flatnonzero(times)
-        key = np.zeros(len(first), np.uint64)
-        key[word] = h
-        return first[found], key[found], times[found]
+        return first[found], times[found]
     order = np.argsort(h, kind="stable")
     for exact in (False, True):
         if exact:  # different phrases of one hash
@@ -175,15 +189,37 @@ def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[
         for j in range(size):
             word = ids[place + j]
             other |= word[1:] != word[:-1]
-        if exact or not (other & (key[1:] == key[:-1])).any():
+        if not (other & (key[1:] == key[:-1])).any():
             break
     first = np.flatnonzero(np.append(True, other)) if len(at) else np.zeros(0, np.int64)
-    return place[first], key[first], np.diff(np.append(first, len(at)))
+    return place[first], np.diff(np.append(first, len(at)))
+
+
+_SUMS = "lang string, shard int, bucket int, width int, gaps binary, times binary"
+
+
+def _packed(h: np.ndarray, times: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(bucket, bytes a gap, gaps, counts) of sorted hashes, cut into 2 ** ``bits`` equal ranges."""
+    low = np.uint64(HASH_BITS - bits)
+    buckets = (h >> low).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(h)])
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+        inside = h[a:b] & np.uint64((1 << int(low)) - 1)
+        gaps = np.diff(inside, prepend=np.uint64(0))
+        width = max(1, -(-int(gaps.max()).bit_length() // 8))
+        yield int(buckets[a]), width, gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), times[a:b].astype("<u4").tobytes()
+
 
+def _unpacked(bucket: int, width: int, gaps: bytes, times: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(gaps) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(gaps, np.uint8).reshape(-1, width)
+    inside = np.cumsum(wide.view("<u8")[:, 0])
+    return inside + np.uint64(bucket << (HASH_BITS - bits)), np.frombuffer(times, "<u4").astype(np.int64)
 
-def _mined(chunks: DataFrame, known: list, supports: DataFrame, task_words: int) -> DataFrame:
-    """Hashes ``h`` of the phrases that reach the support of some shard. A task adds up its phrases
-    over at most twice ``task_words`` words at a time."""
+
+def _mined(chunks: DataFrame, known: list, supports: DataFrame, bits: int, task_words: int) -> DataFrame:
+    """Keys ``h`` of the phrases that reach the support of some shard. A task adds up its phrases
+    over at most twice ``task_words`` words at a time; 2 ** ``bits`` tasks share those of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [b.value for b in known]
@@ -193,15 +229,14 @@ def _mined(chunks: DataFrame, known: list, supports: DataFrame, task_words: int)
         def summed(key: tuple[str, int]) -> Iterator[pa.RecordBatch]:
             _, h = _starts(np.concatenate(held.pop(key)), filters)
             del size[key]
+            h = _narrow(h)
             h.sort()
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-            times = np.diff(np.append(first, len(h)))
-            h = h[first].view(np.int64)
-            for at in range(0, len(h), _ROWS_OUT):
-                part = slice(at, at + _ROWS_OUT)
-                named = [pa.array([k] * len(h[part]), kind) for k, kind in zip(key, (pa.string(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*named, pa.array(h[part]), pa.array(times[part], pa.int64())], ["lang", "shard", "h", "n"])
+            for row in _packed(h[first], np.diff(np.append(first, len(h))), bits):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, *row)))], made)
 
+        made = pa.schema([("lang", pa.string()), *[(c, pa.int32()) for c in ("shard", "bucket", "width")], ("gaps", pa.binary()), ("times", pa.binary())])
+        names = made.names
         for batch in batches:
             for row, (lang, shard, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 held.setdefault((lang, shard), []).append(_numbers(batch, 3, row)[1])
@@ -211,13 +246,21 @@ def _mined(chunks: DataFrame, known: list, supports: DataFrame, task_words: int)
         for key in list(held):
             yield from summed(key)
 
-    sums = chunks.select("lang", "shard", "n", "ids", "hashes").mapInArrow(run, "lang string, shard int, h long, n long")
-    local = sums.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")).join(supports, ["lang", "shard"])
-    return local.where(F.col("n") >= F.col("support")).select("h").distinct()
+    def frequent(rows: pa.Table) -> pa.Table:
+        parts = [_unpacked(*(r[c] for c in ("bucket", "width", "gaps", "times")), bits) for r in rows.to_pylist()]
+        h, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(h)
+        h, times = h[order], times[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        kept = np.add.reduceat(times, first) >= rows["support"][0].as_py()
+        return pa.table({"h": _key(h[first[kept]]).view(np.int64)})
+
+    sums = chunks.select("lang", "shard", "n", "ids", "hashes").mapInArrow(run, _SUMS).join(supports.drop("part"), ["lang", "shard"])
+    return sums.groupBy("lang", "shard", "bucket").applyInArrow(frequent, "h long")
 
 
 def _counted(chunks: DataFrame, known: list, wanted, least: int) -> DataFrame:
-    """``(lang, phrase, h, f)`` of all phrases of the filter ``wanted`` that occur ``least`` times overall."""
+    """``(lang, phrase, f)`` of all phrases of the filter ``wanted`` that occur ``least`` times overall."""
     size = len(known) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +271,34 @@ def _counted(chunks: DataFrame, known: list, wanted, least: int) -> DataFrame:
                 ids, words = _numbers(batch, 1, row)
                 at, h = _starts(words, filters)
                 kept = _inside(wanted.value, h)
-                place, key, times = _groups(ids, at[kept], h[kept], size)
+                place, times = _groups(ids, at[kept], h[kept], size)
                 spelled = [texts[row].values.take(pa.array(ids[place + j])) for j in range(size)]
                 phrase = pc.binary_join_element_wise(*spelled, " ") if size > 1 else spelled[0]
-                columns = [pa.array([lang] * len(key), pa.string()), phrase, pa.array(key.view(np.int64)), pa.array(times, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "h", "f"])
+                columns = [pa.array([lang] * len(place), pa.string()), phrase, pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+
+    each = chunks.select("lang", "ids", "hashes", "words").mapInArrow(run, "lang string, phrase string, f long")
+    return each.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """Keys ``h`` of phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first, *rest = (np.array([xxhash.xxh64_intdigest(w, _seed(lang)) or 1], np.uint64) for w in phrase.split(" "))
+                for word in rest:
+                    first = _longer(first, word)
+                made.append(_key(_narrow(first)).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64())], ["h"])
 
-    each = chunks.select("lang", "ids", "hashes", "words").mapInArrow(run, "lang string, phrase string, h long, f long")
-    total = each.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
-    return total.where(F.col("f") >= least)
+    return found.select("lang", "phrase").mapInArrow(run, "h long")
 
 
 def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest: int, shards: int = SHARDS, task_words: int = TASK_WORDS):
@@ -246,16 +308,18 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int, longest:
     chunks = stage(chunks_of(docs, text, lang, shards), **_PAGES)
     totals = stage(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
     parts = chunks.groupBy("lang", "shard").agg(F.sum("n").cast("decimal(20,0)").alias("part")).join(totals, "lang")
-    supports = stage(parts.select("lang", "shard", F.ceil(F.lit(least) * F.col("part") / F.col("n")).cast("long").alias("support")))
+    supports = stage(parts.select("lang", "shard", "part", F.ceil(F.lit(least) * F.col("part") / F.col("n")).cast("long").alias("support")))
+    largest = int(supports.agg(F.max("part")).first()[0] or 0)
+    bits = min(24, (largest // task_words).bit_length())
     known, levels = [], []
     for size in range(1, longest + 1):
-        wanted = context.broadcast(bloom(_mined(chunks, known, supports, task_words)))
+        wanted = context.broadcast(bloom(_mined(chunks, known, supports, bits, task_words)))
         found = stage(_counted(chunks, known, wanted, least).withColumn("size", F.lit(size)))
         wanted.unpersist()
         levels.append(found)
         if size == longest or found.isEmpty():
             break
-        known.append(context.broadcast(bloom(found.select("h"))))
+        known.append(context.broadcast(bloom(_keys(found))))
     frequent = levels[0]
     for found in levels[1:]:
         frequent = frequent.unionByName(found)
