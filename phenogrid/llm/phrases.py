@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
 
-SHARDS, TASK_WORDS, CHUNK_WORDS = 8, 2_000_000, 1 << 16
+SHARDS, TASK_WORDS, CHUNK_WORDS = 4, 2_000_000, 1 << 18
 BLOOM_BITS, HASH_BITS = 1 << 26, 40
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 UNKNOWN = "und"
@@ -42,11 +42,16 @@ _TABLE = bytes(
 )
 # rows are large: without these settings Parquet would first look at the size of a page after a hundred
 _PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": "8388608"}
+_PAGES["compression"] = "zstd"
 _CHUNKS = "lang string, shard int, n long, ids binary, hashes binary, words array<string>"
 
 
+def _kind(words: int):
+    return np.uint16 if words < 1 << 16 else np.uint32
+
+
 class _Chunk:
-    """Words of one language as numbers; -1 ends a piece."""
+    """Words of one language as numbers from 1; 0 ends a piece. Two bytes a number where they do."""
 
     def __init__(self):
         self.numbers: defaultdict = defaultdict(count().__next__)
@@ -64,8 +69,7 @@ class _Chunk:
         self.held += len(ids)
 
     def row(self, lang: str, shard: int) -> pa.RecordBatch:
-        ids = np.concatenate(self.parts) - 2  # the two signs have the first numbers
-        ids[ids < 0] = -1
+        ids = np.maximum(np.concatenate(self.parts) - 1, 0)  # the two signs had the first numbers
         words = list(self.numbers)[2:]
         seed = _seed(lang)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) or 1 for w in words), np.uint64, len(words))
@@ -73,8 +77,8 @@ class _Chunk:
         columns = [
             pa.array([lang]),
             pa.array([shard], pa.int32()),
-            pa.array([int((ids >= 0).sum())], pa.int64()),
-            pa.array([ids.tobytes()], pa.binary()),
+            pa.array([int(np.count_nonzero(ids))], pa.int64()),
+            pa.array([ids.astype(_kind(len(words))).tobytes()], pa.binary()),
             pa.array([hashes.tobytes()], pa.binary()),
             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), texts),
         ]
@@ -144,9 +148,9 @@ def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _numbers(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of a chunk, and the word hash at every place (0 ends a piece)."""
-    ids = np.frombuffer(batch.column(column)[row].as_buffer(), np.int32)
     hashes = np.frombuffer(batch.column(column + 1)[row].as_buffer(), np.uint64)
-    return ids, np.append(hashes, np.uint64(0))[ids]  # the end of a piece is number -1
+    ids = np.frombuffer(batch.column(column)[row].as_buffer(), _kind(len(hashes)))
+    return ids, np.append(np.uint64(0), hashes)[ids]
 
 
 def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -175,7 +179,7 @@ def _groups(ids: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> tuple[
     """(first place, count) of every different phrase, by its words, among those that start at ``at``."""
     if size == 1:  # the number of a word says it all
         word = ids[at]
-        first = np.zeros(word.max(initial=-1) + 1, np.int32)
+        first = np.zeros(int(word.max(initial=0)) + 1, np.int32)
         first[word[::-1]] = at[::-1]
         times = np.bincount(word)
         found = np.flatnonzero(times)
@@ -272,7 +276,7 @@ def _counted(chunks: DataFrame, known: list, wanted, least: int) -> DataFrame:
                 at, h = _starts(words, filters)
                 kept = _inside(wanted.value, h)
                 place, times = _groups(ids, at[kept], h[kept], size)
-                spelled = [texts[row].values.take(pa.array(ids[place + j])) for j in range(size)]
+                spelled = [texts[row].values.take(pa.array(ids[place + j].astype(np.int64) - 1)) for j in range(size)]
                 phrase = pc.binary_join_element_wise(*spelled, " ") if size > 1 else spelled[0]
                 columns = [pa.array([lang] * len(place), pa.string()), phrase, pa.array(times, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
