@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import chat, decontaminate, langid, lines, phrases, pieces, secrets, sharding, simhash, toxicity, vectors
+from . import balltree, chat, decontaminate, langid, lines, phrases, pieces, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -263,3 +263,25 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents").select("text", "lang"), "text", "lang")
+
+
+_TERMS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op12_ranked_lexical_search",
+    f"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+ t AS (SELECT row, doc_id, unnest(w) AS term FROM d),
+ tf AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+ size AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+ corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs),
+ q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+ s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+ FROM q JOIN tf USING (term) JOIN w USING (term) JOIN size USING (row), corpus GROUP BY ALL)
+ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM
+ (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return balltree.search(docs, "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text", 10)
