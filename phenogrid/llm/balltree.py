@@ -2,11 +2,13 @@
 
 A document is a vector with one whole number per term, its weighted impact; an item is the vector
 that is 1 at its terms. The score is their inner product. Documents become blocks, and each block a
-ball tree: a node knows the centroid of its documents and the radius around it. No document of a
-node can score more than the item's product with the centroid plus the item's length times the
-radius, where the item's length counts only terms that occur in the node. Nodes are opened best
-bound first, and a subtree goes unseen once its bound is below the k-th best score so far. Bounds
-are in floating point, rounded up by more than their error; scores at the leaves are exact.
+ball tree: a node knows the centroid of its documents and the radii around it. Space is cut into
+groups of terms, each with a radius of its own, as one radius over all terms would say little about
+the few of an item. No document of a node can score more than the item's product with the centroid
+plus, for every group, the item's length in it times the radius, where the length counts only
+terms that occur in the node. Nodes are opened best bound first, and a subtree goes unseen once its
+bound is below the k-th best score so far. Bounds are in floating point, rounded up by more than
+their error; scores at the leaves are exact.
 
 Only terms of the items matter, so vectors are cut down to those. Items are taken in blocks of
 bounded size; a block's vocabulary and weights are broadcast.
@@ -30,6 +32,7 @@ from .decontaminate import words_of
 
 ITEM_BYTES = 1 << 19  # text of the items of one block
 BLOCK_ROWS, LEAF = 4096, 32
+GROUPS = 256  # of terms; the more frequent half of them holds one term each
 _SAFE = 1e-9  # far above the relative error of sums of a few million doubles
 
 
@@ -60,6 +63,9 @@ class Tree:
     def __init__(self, rows: Rows, leaf: int = LEAF):
         self.terms, compact = np.unique(rows.terms, return_inverse=True)
         self.leaf = leaf
+        rank = np.argsort(np.argsort(-np.bincount(compact, minlength=len(self.terms)), kind="stable"))
+        alone = GROUPS // 2
+        self.group = np.where(rank < alone, rank, alone + rank % (GROUPS - alone))
         self.lows, self.highs, self.kids, self.radius, centres = [], [], [], [], []
         self.order: list[np.ndarray] = []
         self._done = 0
@@ -79,8 +85,7 @@ class Tree:
 
         square = float(centre @ centre)
         far = distances(centre, square)
-        # what cancels in the subtraction is bounded by the size of its parts
-        self.radius.append(math.sqrt(float(np.maximum(far, 0).max()) + _SAFE * (float(squares.max()) + square)) * (1 + _SAFE))
+        self.radius.append(self._radii(rows, centre))
         centres.append(centre)
         self.lows.append(self._done)
         self.highs.append(0)
@@ -105,6 +110,17 @@ class Tree:
         self.highs[node] = self._done
         return node
 
+    def _radii(self, rows: Rows, centre: np.ndarray) -> np.ndarray:
+        """Largest distance from the centre in the space of each group."""
+        own = np.repeat(np.arange(len(rows)), np.diff(rows.start)) * GROUPS + self.group[rows.terms]
+        add = lambda x: np.bincount(own, x, minlength=len(rows) * GROUPS).reshape(-1, GROUPS)
+        v, c = rows.values, centre[rows.terms]
+        squares = np.bincount(self.group, centre**2, minlength=GROUPS)
+        # the centre's own square, less what the row's entries take from it
+        far = (add(v * (v - 2 * c)) + squares).max(axis=0)
+        # what cancels in the subtraction is bounded by the size of its parts
+        return np.sqrt(np.maximum(far, 0) + _SAFE * (add(v * v).max(axis=0) + squares)) * (1 + _SAFE)
+
     def bounds(self, items: list[np.ndarray]) -> np.ndarray:
         """(nodes, items): no row of the node has a larger product with the item."""
         out = np.zeros((len(self.centres), len(items)))
@@ -113,8 +129,11 @@ class Tree:
             at = [place[t] for t in terms.tolist() if t in place]
             if at:
                 found = self.centres[:, at]
-                length = np.sqrt((found > 0).sum(axis=1))
-                out[:, j] = (found.sum(axis=1) + length * self.radius) * (1 + _SAFE) + 1
+                groups, column = np.unique(self.group[at], return_inverse=True)
+                inside = np.zeros((len(at), len(groups)))
+                inside[np.arange(len(at)), column] = 1
+                length = np.sqrt((found > 0) @ inside)
+                out[:, j] = (found.sum(axis=1) + (length * self.radius[:, groups]).sum(axis=1)) * (1 + _SAFE) + 1
         return out
 
     def search(self, bounds: np.ndarray, wanted: np.ndarray, offer) -> int:
