@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import balltree, chat, decontaminate, langid, lines, phrases, pieces, secrets, sharding, simhash, toxicity, vectors
+from . import balltree, chat, decontaminate, langid, lines, phrases, pieces, quality, secrets, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -285,3 +285,17 @@ _TERMS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return balltree.search(docs, "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text", 10)
+
+
+@query("op13_quality_classifier")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marks = table(spark, folder, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    model = quality.fit(docs.where(_fold(5) != 0), "doc_id", "text", marks, "quality")
+    scored = quality.add_score(docs, "text", model, "score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
