@@ -143,18 +143,30 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int, ridge: float) -> np.n
 
 
 def _plane(grad: np.ndarray, hess: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
-    """(gain, values) of the tree on a grid of bins that cuts one way, then both halves the other."""
+    """(gain, values) of the best tree on a grid of bins that cuts one way, then each side the other.
+    All first cuts are tried with the best second ones: where only both numbers together say
+    something, no first cut gains by itself."""
+    whole = grad.sum() ** 2 / (hess.sum() + ridge)
     best = (0.0, np.full(grad.shape, grad.sum() / (hess.sum() + ridge)))
     for g, h, turn in ((grad, hess, False), (grad.T, hess.T, True)):
-        gain, at = _cut(g.sum(axis=1), h.sum(axis=1), ridge)
-        values = np.empty(g.shape)
-        for part in (slice(0, at), slice(at, None)):
-            a, b = g[part].sum(axis=0), h[part].sum(axis=0)
-            if len(g[part]):
-                gain += _cut(a, b, ridge)[0]
-                values[part] = _tree(a, b, 2, ridge)
-        if gain > best[0]:
-            best = (gain, values.T if turn else values)
+        if min(g.shape) < 2:
+            continue
+        over_g, over_h = np.cumsum(g, axis=0)[:-1], np.cumsum(h, axis=0)[:-1]
+        gain, second = -whole, []
+        for a, b in ((over_g, over_h), (g.sum(axis=0) - over_g, h.sum(axis=0) - over_h)):
+            left, under = np.cumsum(a, axis=1)[:, :-1], np.cumsum(b, axis=1)[:, :-1]
+            right, above = a.sum(axis=1)[:, None] - left, b.sum(axis=1)[:, None] - under
+            each = left**2 / (under + ridge) + right**2 / (above + ridge)
+            at = each.argmax(axis=1)
+            gain = gain + each[np.arange(len(at)), at]
+            second.append(at + 1)
+        first = int(gain.argmax())
+        if gain[first] > best[0]:
+            values = np.empty(g.shape)
+            for rows, at in zip((slice(0, first + 1), slice(first + 1, None)), (int(s[first]) for s in second)):
+                for columns in (slice(0, at), slice(at, None)):
+                    values[rows, columns] = g[rows, columns].sum() / (h[rows, columns].sum() + ridge)
+            best = (float(gain[first]), values.T if turn else values)
     return best
 
 
