@@ -199,6 +199,39 @@ def test_quantile_normalisation_shares_one_distribution(spark):
         np.testing.assert_allclose([got[s, j] for j in range(30)], want)
 
 
+def test_quantile_normalisation_of_unequal_samples(spark):
+    rng = np.random.default_rng(6)
+    samples = {s: np.round(rng.normal(size=n) * 3, 1) for s, n in enumerate([10, 5, 5, 1, 33, 2, 1000])}
+    samples["none"], samples["same"] = np.array([]), np.full(4, 2.5)
+    rows = [(str(s), j, float(v)) for s, x in samples.items() for j, v in enumerate(x)] + [("0", 10, None), ("none", 0, None), ("4", 99, float("nan"))]
+    df = spark.createDataFrame(rows, "s string, f int, v double")
+    got = {(r["s"], r["f"]): r["scaled"] for r in scale.quantile_normalise(df, "s", "v").collect()}
+    assert len(got) == len(rows) and [got[k] for k in (("0", 10), ("none", 0), ("4", 99))] == [None] * 3
+    lines = [(np.linspace(0, 1, len(x)), np.sort(x)) for x in samples.values() if len(x) > 1]
+    alone = [x[0] for x in samples.values() if len(x) == 1]
+    common = lambda u: (sum(np.interp(u, *line) for line in lines) + sum(alone)) / (len(lines) + len(alone))
+    for s, x in samples.items():
+        goals = common(np.linspace(0, 1, len(x)) if len(x) > 1 else np.full(len(x), 0.5))
+        rank = pd.Series(x).rank().to_numpy() - 1
+        have = np.array([got[str(s), j] for j in range(len(x))])
+        if len(x):
+            np.testing.assert_allclose(have, (goals[np.floor(rank).astype(int)] + goals[np.ceil(rank).astype(int)]) / 2, atol=1e-9)
+        assert (np.diff(have[np.argsort(x, kind="stable")]) >= -1e-9).all()
+    ends = [(min(v), max(v)) for v in ([got[str(s), j] for j in range(n)] for s, n in ((1, 5), (2, 5)))]
+    assert ends[0] == pytest.approx(ends[1], abs=1e-9)
+
+
+def test_swept_lines_in_many_ranges(spark):
+    rng = np.random.default_rng(8)
+    u = np.append(np.round(rng.random(300), 2), [0.0, 1.0])
+    bend = rng.normal(size=len(u))
+    made = scale._swept(spark.createDataFrame(list(zip(u.tolist(), bend.tolist())), "u double, bend double"), 5.0, most=7)
+    got = {r["u"]: r["total"] for r in made.collect()}
+    assert set(got) == set(u)
+    for at in got:
+        assert got[at] == pytest.approx(5.0 + (bend * np.maximum(at - u, 0)).sum(), abs=1e-9)
+
+
 def test_pca_of_correlations(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
