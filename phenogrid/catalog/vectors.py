@@ -218,3 +218,27 @@ def v6(d: Data):
 @query("v6_permanova_euclidean_p")
 def v6p(d: Data):
     return permanova.permanova_euclidean(d.em(), "sample", "vector", "grp", 999, seed=7)
+
+
+_ALL = f"""{EML}, c AS (SELECT dim, grp, count(*) AS n, var_pop(value) * count(*) AS q, avg(value) AS m FROM eml GROUP BY 1, 2),
+ g AS (SELECT grp, any_value(n) AS n, sum(q) AS ssw FROM c GROUP BY 1),
+ two AS (SELECT a.grp || ' vs ' || b.grp AS pair, a.n + b.n AS nn, a.ssw + b.ssw AS ssw, 1 AS df1,
+ (SELECT sum((x.m - y.m) * (x.m - y.m)) * a.n * b.n / (a.n + b.n) FROM c x JOIN c y USING (dim) WHERE x.grp = a.grp AND y.grp = b.grp) AS ssa
+ FROM g a JOIN g b ON a.grp < b.grp),
+ one AS (SELECT 'all' AS pair, sum(n) AS nn, sum(ssw) AS ssw, count(*) - 1 AS df1,
+ (SELECT sum(var_pop * k) FROM (SELECT var_pop(value) AS var_pop, count(*) AS k FROM eml GROUP BY dim)) - sum(ssw) AS ssa FROM g),
+ r AS (SELECT pair, nn, ssw, df1, ssa FROM one UNION ALL SELECT pair, nn, ssw, df1, ssa FROM two)"""
+
+
+@query(
+    "v5_permanova_gated_tables",
+    f"""WITH {_ALL}
+ SELECT pair, 'group' AS term, df1::BIGINT AS df, round(ssa, 5) AS ss, round((ssa / df1) / (ssw / (nn - df1 - 1)), 5) AS f, round(ssa / (ssa + ssw), 5) AS r2 FROM r
+ UNION ALL SELECT pair, 'residual', (nn - df1 - 1)::BIGINT, round(ssw, 5), NULL, round(ssw / (ssa + ssw), 5) FROM r
+ UNION ALL SELECT pair, 'total', (nn - 1)::BIGINT, round(ssa + ssw, 5), NULL, 1.0 FROM r""",
+)
+def v5t(d: Data):
+    """The gate left open, so that what both tables hold does not hang on a permutation p."""
+    whole, pairs = permanova.permanova_gated(d.em(), "sample", "vector", "grp", permutations=9, seed=7, alpha=1.01)
+    both = whole.select(F.lit("all").alias("pair"), *whole.columns).unionByName(pairs, allowMissingColumns=True)
+    return both.select("pair", "term", "df", rnd("ss", 5).alias("ss"), rnd("f", 5).alias("f"), rnd("r2", 5).alias("r2"))

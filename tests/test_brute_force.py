@@ -309,6 +309,42 @@ def test_permanova_forms_agree(cloud):
     assert len({r["p"] for r in rows}) == 1  # the same permutations in all three
 
 
+def test_large_blocks_and_small_steps_change_nothing(cloud, monkeypatch):
+    """Memory limits decide how the work is cut, not what comes out; samples are read once."""
+    _, _, df = cloud
+    run = lambda: (
+        permanova.permanova(df, "s", "v", "g", "bray", 49, seed=5),
+        permanova.permanova_euclidean(df, "s", "v", "g", 49, seed=5),
+    )
+    rows = [[tuple(r) for r in o.collect()] for o in run()]
+    for cells in (64, 4096, 1 << 30):
+        monkeypatch.setattr(distance, "CELLS", cells)
+        monkeypatch.setattr(permanova, "CELLS", cells)
+        for made, want in zip(run(), rows):
+            for r, w in zip(made.collect(), want):
+                assert tuple(r) == pytest.approx(w)
+    text = run()[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("_cells") and text.count("Relation") == 1
+
+
+def test_blocks_move_once_for_each_large_block(spark):
+    rng = np.random.default_rng(9)
+    shuffled = {}
+    for n in (2000, 8000):
+        rows = pd.DataFrame({"_r": range(n), "_x": rng.random((n, 8)).tolist()})
+        placed = spark.createDataFrame(rows, "_r long, _x array<double>").withColumn("_blk", F.floor(F.col("_r") / distance.BLOCK).cast("int"))
+        blocks = distance.packed(placed)
+        total, g = distance.grid(blocks)
+        tiles = distance.large_tiles(blocks, total, g)
+        assert total == -(-n // distance.BLOCK) and tiles.count() == total * g
+        assert tiles.select("_lo", "_hi").distinct().count() == g * (g + 1) // 2
+        shuffled[n] = tiles.agg(F.sum(F.length("_cells"))).first()[0] / g
+        assert distance.grid(blocks, 1)[1] == total
+    assert shuffled[8000] == 4 * shuffled[2000]  # bytes in proportion to samples x large blocks
+    with pytest.raises(Exception, match="shape|size"):
+        distance.pairwise_distance(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "s int, v array<double>"), "s", "v").collect()
+
+
 def test_pairwise_permanova(cloud):
     x, groups, df = cloud
     d = full_distances(x, "bray")
@@ -352,3 +388,30 @@ def test_permuted_numbers_are_bijections(n):
     assert (part == image[:, 1::2]).all()
     other = permanova.permuted_numbers(np.arange(n), n, perms, seed=10)
     assert n == 2 or (other != image).any()
+
+
+@pytest.mark.parametrize("n", [1, 3, 511, 512])
+def test_every_permutation_is_one(n):
+    perms = np.arange(40)
+    image = permanova.permuted_numbers(np.arange(n), n, perms, seed=4)
+    assert (np.sort(image, axis=1) == np.arange(n)).all() and (image[0] == np.arange(n)).all()
+    some = np.arange(n)[::3]
+    assert (permanova.permuted_numbers(some, n, perms, seed=4) == image[:, some]).all()
+
+
+def test_all_permutations_are_equally_likely():
+    for n in (3, 4, 5):
+        images = permanova.permuted_numbers(np.arange(n), n, np.arange(1, 24001), seed=2)
+        codes = images @ (n ** np.arange(n))
+        _, seen = np.unique(codes, return_counts=True)
+        kinds = math.factorial(n)
+        assert len(seen) == kinds
+        chance = 24000 / kinds
+        assert ((seen - chance) ** 2 / chance).sum() < kinds - 1 + 4 * math.sqrt(2 * (kinds - 1))
+    for n in (511, 512, 513):
+        images = permanova.permuted_numbers(np.array([0, 1, n // 2, n - 1]), n, np.arange(1, 40001), seed=3)
+        inside = np.bincount(np.arange(n) * 8 // n)
+        likely = (np.outer(inside, inside) - np.diag(inside)) / (n * (n - 1)) * 40000
+        for i, j in combinations(range(4), 2):  # pairs of images over a grid of 8 x 8
+            seen = np.bincount(images[:, i] * 8 // n * 8 + images[:, j] * 8 // n, minlength=64).reshape(8, 8)
+            assert ((seen - likely) ** 2 / likely).sum() < 63 + 4 * math.sqrt(2 * 63)
