@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators import clean, relate
+from ..operators import clean, relate, reshape
 from ..plans.staging import scratch_path
 from ..sources import cached_dataset, drop_label_records, read_measurements, write_table
 from .registry import EV, LI, TIMES, Data, query, rnd, rounded
@@ -29,6 +29,31 @@ def io1(d: Data):
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), rnd(F.max("l_extendedprice")).alias("top"))
 
 
+@query(
+    "io1_delimited_text",
+    """WITH k AS (SELECT o_custkey AS subject, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey) AS runs, count(*) AS n,
+ CASE WHEN o_custkey % 7 <> 0 THEN round(max(o_totalprice), 2) END AS top FROM orders GROUP BY 1)
+ SELECT subject, CAST(unnest(string_split(runs, ', ')) AS BIGINT) AS run, 'a "quoted", tabbed	 name ' || subject AS name, top FROM k""",
+)
+def io1t(d: Data):
+    """A key table as instruments export it: tabs, quoted text, NA, and several runs in one cell."""
+    orders = d.table("orders").groupBy(F.col("o_custkey").alias("subject")).agg(
+        F.sort_array(F.collect_list("o_orderkey")).alias("runs"), F.round(F.max("o_totalprice"), 2).alias("top")
+    )
+    table = orders.select(
+        "subject",
+        F.array_join(F.col("runs").cast("array<string>"), ", ").alias("runs"),
+        F.concat(F.lit('a "quoted", tabbed\t name '), F.col("subject").cast("string")).alias("name"),
+        F.when(F.col("subject") % 7 != 0, F.col("top")).alias("top"),
+    )
+    path = scratch_path(d.spark)
+    write_table(table, path, fmt="csv")
+    kinds = {"subject": T.LongType(), "runs": T.StringType(), "name": T.StringType(), "top": T.DoubleType()}
+    schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
+    back = read_measurements(d.spark, path, schema, fmt="csv", sep="\t")
+    return reshape.explode_keys(back, "runs").select("subject", F.col("runs").cast("long").alias("run"), "name", "top")
+
+
 @query("io2_drop_label_records", "SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
 def io2(d: Data):
     return drop_label_records(d.table("events").select("event_id", "event_type"), "event_type", ["error"])
@@ -254,6 +279,15 @@ def j2(d: Data):
     return joined.select("event_id", rnd("cm3").alias("cm3"))
 
 
+@query(
+    "j2_left_join_other_names",
+    """SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey""",
+)
+def j2n(d: Data):
+    pending = d.table("orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return relate.attach_keys(d.table("customer").select("c_custkey"), pending, {"c_custkey": "o_custkey"}, "left")
+
+
 @query(
     "j3_right_join",
     """SELECT c_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P') o

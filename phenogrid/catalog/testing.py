@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tails import f_tail, t_tail, tukey_critical, tukey_tail
-from ..operators import anova, baseline, cells, posthoc
+from ..operators import anova, baseline, cells, posthoc, regression
 from .registry import CONTROL, EV, LI, TIMES, TREATMENTS, Data, query, rnd, rounded, t_tail_sql
 from .tukey_sql import tukey_p_sql
 
@@ -419,3 +419,25 @@ def st3c(d: Data):
     rows = d.table("supplier").select("s_suppkey", (F.col("s_nationkey") + 2.0).alias("df"))
     q = tukey_critical(F.lit(0.95), F.lit(4.0), "df")
     return rows.withColumn("q", q).select("s_suppkey", rnd(tukey_tail("q", F.lit(4.0), "df"), 5).alias("p"))
+
+
+# Student's t for 95 % by its expansion around the normal quantile, for the hundreds of degrees of freedom here.
+_Z = 1.959963984540054
+_T = (
+    f"({_Z} + {(_Z**3 + _Z) / 4} / df + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / pow(df, 2)"
+    f" + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / pow(df, 3)"
+    f" + {(79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160} / pow(df, 4))"
+)
+
+
+@query(
+    "r1_fitted_line",
+    f"""WITH {LI}, f AS (SELECT feature, count(*) AS n, count(*) - 2.0 AS df, regr_slope(value, x) AS slope, avg(x) AS mx, avg(value) AS my,
+ regr_sxx(value, x) AS sxx, regr_syy(value, x) AS syy, regr_sxy(value, x) AS sxy, min(x) AS lo, max(x) AS hi FROM li GROUP BY 1),
+ spots AS (SELECT *, sqrt((syy - sxy * sxy / sxx) / df) AS s, lo + (hi - lo) * (point - 1) / 4 AS v FROM f, (SELECT unnest(range(1, 6)) AS point)),
+ l AS (SELECT feature, point, v, my + slope * (v - mx) AS fit, {_T} * s * sqrt(1.0 / n + (v - mx) * (v - mx) / sxx) AS half FROM spots)
+ SELECT feature, CAST(point AS INTEGER) AS point, round(v, 6) AS x, round(fit, 4) AS fit, round(fit - half, 4) AS lwr, round(fit + half, 4) AS upr FROM l""",
+)
+def r1l(d: Data):
+    out = regression.fitted_line(d.li(), "feature", "x", "value", points=5)
+    return rounded(rounded(out, "x"), "fit", "lwr", "upr", digits=4)

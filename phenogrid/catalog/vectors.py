@@ -95,7 +95,20 @@ def x6(d: Data):
  round(var_samp(pc2), 5) AS vyy, round(covar_samp(pc1, pc2), 5) AS vxy FROM scores GROUP BY 1""",
 )
 def x7(d: Data):
-    return rounded(pca.group_ellipse(_result(d).scores, "grp"), "cx", "cy", "vxx", "vyy", "vxy", digits=5)
+    found = pca.group_ellipse(_result(d).scores, "grp").select("grp", "n", "cx", "cy", "vxx", "vyy", "vxy")
+    return rounded(found, "cx", "cy", "vxx", "vyy", "vxy", digits=5)
+
+
+@query(
+    "x7_ellipse_axes",
+    f"""WITH {_SCORES}, v AS (SELECT grp, count(*) AS n, var_samp(pc1) AS a, var_samp(pc2) AS b, covar_samp(pc1, pc2) AS c FROM scores GROUP BY 1),
+ r AS (SELECT *, sqrt((n - 1) * (pow(0.05, -2.0 / (n - 1)) - 1)) AS radius, sqrt((a - b) * (a - b) / 4 + c * c) AS swing FROM v)
+ SELECT grp, round(radius, 6) AS radius, round(radius * sqrt((a + b) / 2 + swing), 4) AS major,
+ round(radius * sqrt((a + b) / 2 - swing), 4) AS minor FROM r""",
+)
+def x7a(d: Data):
+    found = pca.group_ellipse(_result(d).scores, "grp")
+    return found.select("grp", rnd("radius").alias("radius"), rnd("major", 4).alias("major"), rnd("minor", 4).alias("minor"))
 
 
 _SUBSET = f"""{EV}, cell AS (SELECT subject AS sample, feature AS dim, avg(value) AS raw, avg(zs) AS zs FROM (SELECT subject, feature, value,

@@ -1,4 +1,4 @@
-"""Upper tails of the t, F and studentized-range distributions, for per-feature results.
+"""Upper tails and quantiles of the t, F and studentized-range distributions, for per-feature results.
 
 Spark SQL has none of these functions. They run on aggregated rows only, in Arrow batches.
 """
@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 _STEP = 0.01  # spacing of the normal grid behind the studentized range
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(128)
+_FALL = 45.0  # natural logarithms below its peak an integrand is left out
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -130,26 +130,28 @@ def _normal_grid() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=128)
 def _range_table(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """P(range of k standard normals > r) and its slope on the grid r = 0, 0.01, ..., 16.
+    """log P(range of k standard normals > r) and its slope on the grid r = 0, 0.01, ..., 16.
 
-    Both are trapezoid sums, which converge geometrically for these integrands.
+    Both are trapezoid sums, which converge geometrically for these integrands. All terms are
+    positive, so the logarithm is right far out, too.
     """
     pdf, cdf = _normal_grid()
     at = np.arange(1600, 3201)
     miss = np.empty(1601)
     slope = np.empty(1601)
     for r in range(1601):
-        gap = cdf[at] - cdf[at - r]
-        miss[r] = 1.0 - k * _STEP * np.sum(pdf[at] * gap ** (k - 1))
-        if k == 2:
-            slope[r] = -2.0 * _STEP * np.sum(pdf[at] * pdf[at - r])
-        else:
-            slope[r] = -k * (k - 1) * _STEP * np.sum(pdf[at] * pdf[at - r] * gap ** (k - 2))
-    return np.clip(miss, 0.0, 1.0), slope
-
-
-def _range_upper(k: int, r: np.ndarray) -> np.ndarray:
-    """Cubic Hermite reading of the table."""
+        # all others lie below the largest value z, but not all of them within r of it
+        with np.errstate(divide="ignore"):
+            lower = -np.expm1((k - 1) * np.log1p(-np.minimum(cdf[at - r] / cdf[at], 1.0)))
+        miss[r] = k * _STEP * np.sum(pdf[at] * cdf[at] ** (k - 1) * lower)
+        gap = np.maximum(cdf[at] - cdf[at - r], 0.0)
+        slope[r] = -k * (k - 1) * _STEP * np.sum(pdf[at] * pdf[at - r] * gap ** (k - 2))
+    miss = np.minimum(miss, 1.0)
+    return np.log(miss), slope / miss
+
+
+def _range_log_upper(k: int, r: np.ndarray) -> np.ndarray:
+    """Cubic Hermite reading of the table; beyond r = 16 the tail is below 1e-26 for any k in use."""
     miss, slope = _range_table(k)
     pos = np.minimum(r / _STEP, 1599.999999)
     i = pos.astype(int)
@@ -157,18 +159,63 @@ def _range_upper(k: int, r: np.ndarray) -> np.ndarray:
     h00, h01 = (1 + 2 * t) * (1 - t) ** 2, t * t * (3 - 2 * t)
     h10, h11 = t * (1 - t) ** 2, t * t * (t - 1)
     out = h00 * miss[i] + h01 * miss[i + 1] + _STEP * (h10 * slope[i] + h11 * slope[i + 1])
-    return np.where(r >= 16.0, 0.0, np.maximum(out, 0.0))
+    return np.where(r >= 16.0, -np.inf, np.minimum(out, 0.0))
+
+
+def _log_scale_peak(df: np.ndarray) -> np.ndarray:
+    """Log density, at 0, of the logarithm of the error's standard deviation."""
+    a = df / 2
+    big = np.maximum(a, 10.0)
+    series = 1 / (12 * big) - 1 / (360 * big**3) + 1 / (1260 * big**5) - 1 / (1680 * big**7)
+    stirling = 0.5 * np.log(big / (2 * math.pi)) - series
+    small = np.minimum(a, 10.0)
+    exact = small * np.log(small) - small - _lgamma(small)
+    # a log a - a - log gamma(a) by its series, or term by term where little cancels
+    return math.log(2) + np.where(a >= 10.0, stirling, exact)
 
 
 def _tukey_group(q: np.ndarray, k: int, df: np.ndarray) -> np.ndarray:
-    width = 10.0 / np.sqrt(2.0 * df)
-    lo, hi = np.maximum(1.0 - width, 0.0), 1.0 + width
-    s = (lo + hi)[:, None] / 2 + (hi - lo)[:, None] / 2 * _NODES
-    with np.errstate(divide="ignore"):
-        log_density = (df[:, None] / 2) * (2 * np.log(s) + 1 - s * s) - np.log(s)
-    mass = np.exp(log_density - log_density.max(axis=1, keepdims=True)) * _WEIGHTS
-    mass /= mass.sum(axis=1, keepdims=True)
-    return np.sum(mass * _range_upper(k, q[:, None] * s), axis=1)
+    """The tail of the range, averaged over the logarithm x of the scale.
+
+    In x the integrand falls off on both sides at least exponentially, so a trapezoid sum converges
+    geometrically. A coarse look finds where the integrand lives: around x = 0, or, far out in the tail,
+    where q exp(x) is a moderate range. The sum is refined until halving its step changes nothing.
+    """
+    q, d = np.maximum(q, 1e-12)[:, None], df[:, None]
+    peak = _log_scale_peak(d)
+
+    def height(x: np.ndarray) -> np.ndarray:
+        return peak + d * (x - np.expm1(2 * x) / 2) + _range_log_upper(k, q * np.exp(x))
+
+    wide = 50.0 / d + 10.0 / np.sqrt(d)
+    top = np.minimum(np.log1p(10.0 / np.sqrt(2 * d)), np.log(16.0 / q))
+    low = np.minimum(-wide, np.log(0.5 / q) - 50.0 / d)
+    steps = np.linspace(0.0, 1.0, 401)
+    far = low + (top - low) * steps
+    near = np.minimum(-wide + (top + wide) * steps, top)  # where the scale itself lives
+    x = np.sort(np.concatenate([far, np.maximum(near, low)], axis=1), axis=1)
+    h = height(x)
+    lives = h > h.max(axis=1, keepdims=True) - _FALL
+    first = np.maximum(lives.argmax(axis=1) - 1, 0)
+    last = np.minimum(x.shape[1] - lives[:, ::-1].argmax(axis=1), x.shape[1] - 1)
+    rows = np.arange(len(q))
+    low, top = x[rows, first][:, None], x[rows, last][:, None]
+    out = np.empty(len(q))
+    todo, count = rows, 256
+    while len(todo):
+        fine = low[todo] + (top[todo] - low[todo]) * np.linspace(0.0, 1.0, 2 * count + 1)
+        part_q, part_d, part_peak = q[todo], d[todo], peak[todo]
+        with np.errstate(under="ignore"):
+            f = np.exp(part_peak + part_d * (fine - np.expm1(2 * fine) / 2) + _range_log_upper(k, part_q * np.exp(fine)))
+        step = (top[todo] - low[todo])[:, 0] / count
+        ends = (f[:, 0] + f[:, -1]) / 2
+        whole = step / 2 * (f[:, 1:-1].sum(axis=1) + ends)
+        half = step * (f[:, 2:-1:2].sum(axis=1) + ends)
+        out[todo] = whole
+        if count >= 8192:
+            break
+        todo, count = todo[np.abs(whole - half) > 1e-10 * whole], 4 * count
+    return out
 
 
 def tukey_upper(q, k, df) -> np.ndarray:
@@ -208,6 +255,57 @@ def tukey_quantile(conf, k, df) -> np.ndarray:
     return out
 
 
+def f_quantile(p, df1, df2) -> np.ndarray:
+    """The f whose upper tail is ``p``: Newton steps on the logarithms of both, kept within a bracket.
+    NaN outside 0 < p < 1."""
+    p, df1, df2 = np.broadcast_arrays(np.asarray(p, float), np.asarray(df1, float), np.asarray(df2, float))
+    out = np.full(p.shape, np.nan)
+    ok = (p > 0) & (p < 1) & (df1 > 0) & (df2 > 0)
+    if not ok.any():
+        return out
+    cases, back = np.unique(np.stack([p[ok], df1[ok], df2[ok]]), axis=1, return_inverse=True)
+    goal, a, b = cases
+    norm = _lgamma((a + b) / 2) - _lgamma(a / 2) - _lgamma(b / 2) + a / 2 * np.log(a / b)
+    low, high = np.full(len(goal), -1.0), np.full(len(goal), 1.0)
+    for _ in range(60):
+        short = f_upper(np.exp(high), a, b) > goal
+        long = f_upper(np.exp(low), a, b) < goal
+        if not (short | long).any():
+            break
+        high, low = np.where(short, 2 * high, high), np.where(long, 2 * low, low)
+        high, low = np.minimum(high, 700.0), np.maximum(low, -700.0)
+    y = (low + high) / 2
+    for _ in range(200):
+        tail = f_upper(np.exp(y), a, b)
+        low, high = np.where(tail > goal, y, low), np.where(tail > goal, high, y)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            # slope of the log tail in y
+            slope = -np.exp(norm + a / 2 * y - (a + b) / 2 * np.log1p(a / b * np.exp(y))) / tail
+            new = y - (np.log(tail) - np.log(goal)) / slope
+        new = np.where((new > low) & (new < high), new, (low + high) / 2)
+        moved = np.abs(new - y)
+        y = new
+        if (moved < 1e-14 * np.maximum(np.abs(y), 1.0)).all():
+            break
+    out[ok] = np.exp(y)[back.reshape(-1)]
+    return out
+
+
+def t_quantile(p, df) -> np.ndarray:
+    """The t >= 0 whose two-sided tail is ``p``."""
+    return np.sqrt(f_quantile(p, 1.0, df))
+
+
+@pandas_udf(DoubleType())
+def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(t_quantile(p, df))
+
+
+@pandas_udf(DoubleType())
+def f_critical(p: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    return pd.Series(f_quantile(p, df1, df2))
+
+
 @pandas_udf(DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t, df))

@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tails import f_critical
+
 
 class PcaResult(NamedTuple):
     eigen: DataFrame  # dim, eigenvalue, pct, cum_pct
@@ -71,9 +73,14 @@ def pca_contributions(result: PcaResult, k: int = 10, dims: tuple[int, ...] = (1
     )
 
 
-def group_ellipse(scores: DataFrame, group: str, x: str = "pc1", y: str = "pc2") -> DataFrame:
-    """Centre and covariance of each group on two axes: the data behind a confidence ellipse."""
-    return scores.groupBy(group).agg(
+def group_ellipse(scores: DataFrame, group: str, x: str = "pc1", y: str = "pc2", conf: float = 0.95) -> DataFrame:
+    """Centre, covariance and confidence ellipse of each group on two axes.
+
+    ``radius`` is that of the ``conf`` ellipse in units of the covariance, sqrt(2 F(2, n - 1)); ``major``
+    and ``minor`` are the half axes, ``angle`` that of the major one against the x axis in radians,
+    from -pi/2 to pi/2. Groups of fewer than two points have no ellipse.
+    """
+    made = scores.groupBy(group).agg(
         F.count("*").alias("n"),
         F.avg(x).alias("cx"),
         F.avg(y).alias("cy"),
@@ -81,3 +88,15 @@ def group_ellipse(scores: DataFrame, group: str, x: str = "pc1", y: str = "pc2")
         F.var_samp(y).alias("vyy"),
         F.covar_samp(x, y).alias("vxy"),
     )
+    left = F.when(F.col("n") > 1, F.col("n") - 1).cast("double")
+    radius = F.sqrt(2 * f_critical(F.lit(1.0 - conf), F.lit(2.0), left))
+    middle, apart = (F.col("vxx") + F.col("vyy")) / 2, (F.col("vxx") - F.col("vyy")) / 2
+    swing = F.sqrt(apart * apart + F.col("vxy") * F.col("vxy"))
+    out = made.withColumn("radius", radius)
+    return out.withColumns(
+        {
+            "major": F.col("radius") * F.sqrt(middle + swing),
+            "minor": F.col("radius") * F.sqrt(F.greatest(middle - swing, F.lit(0.0))),
+            "angle": F.atan2("vxy", apart) / 2,
+        }
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null, no_clash
-from ..functions.tails import t_tail
+from ..functions.tails import t_critical, t_tail
 
 
 def linear_regression(
@@ -46,6 +46,42 @@ def linear_regression(
     return _with_p(out) if p else out
 
 
+def fitted_line(
+    df: DataFrame, feature: str, x: str, y: str, by: tuple[str, ...] = (), points: int = 80, conf: float = 0.95
+) -> DataFrame:
+    """The line ``y ~ x`` of every feature at ``points`` equally spaced places between its smallest
+    and largest ``x``, with the limits of its mean at confidence ``conf``: the data behind a
+    regression line with a band. Columns ``point`` (from 1), ``x``, ``fit``, ``lwr``, ``upr``.
+
+    Rows lacking either value are left out. Features with fewer than three of them have no limits; a
+    constant ``x`` has no line. One aggregation; only its result is spread out.
+    """
+    no_clash([*by, feature], ("point", "x", "fit", "lwr", "upr"))
+    a, b = finite_or_null(x), finite_or_null(y)
+    both = a.isNotNull() & b.isNotNull()
+    known = F.when(both, a)
+    fit = df.groupBy(*by, feature).agg(
+        F.regr_count(b, a).alias("_n"),
+        F.regr_slope(b, a).alias("_slope"),
+        F.regr_avgx(b, a).alias("_mx"),
+        F.regr_avgy(b, a).alias("_my"),
+        F.regr_sxx(b, a).alias("_sxx"),
+        F.regr_syy(b, a).alias("_syy"),
+        F.regr_sxy(b, a).alias("_sxy"),
+        F.min(known).alias("_lo"),
+        F.max(known).alias("_hi"),
+    )
+    left = F.when(F.col("_n") > 2, F.col("_n") - 2).cast("double")
+    rest = F.greatest(F.col("_syy") - F.col("_sxy") ** 2 / F.nullif("_sxx", F.lit(0.0)), F.lit(0.0))
+    told = fit.where("_sxx > 0").withColumn("_mse", rest / left).withColumn("_crit", t_critical(F.lit(1.0 - conf), left))
+    at = F.explode(F.sequence(F.lit(1), F.lit(points))).alias("point")
+    spread = told.select("*", at).withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("point") - 1) / max(points - 1, 1))
+    away = F.col("x") - F.col("_mx")
+    line = F.col("_my") + F.col("_slope") * away
+    half = F.col("_crit") * F.sqrt(F.col("_mse") * (1 / F.col("_n") + away * away / F.col("_sxx")))
+    return spread.select(*by, feature, "point", "x", line.alias("fit"), (line - half).alias("lwr"), (line + half).alias("upr"))
+
+
 def _with_p(out: DataFrame) -> DataFrame:
     """Two-sided p of ``t`` on n - 2 degrees of freedom; 0 for an infinite ``t``."""
     endless = F.abs(F.col("t")) == float("inf")

@@ -11,12 +11,20 @@ from ..plans.staging import stage
 from .clean import parse_sample_id
 
 
-def attach_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Key lookup by equal columns; ``inner``, ``left`` or ``right``.
+def attach_keys(df: DataFrame, keys: DataFrame, on: list[str] | dict[str, str], how: str = "inner") -> DataFrame:
+    """Key lookup by equal columns; ``inner``, ``left`` or ``right``. ``on`` names columns that both
+    sides have, or, as a dict, the column of ``df`` and that of ``keys`` it equals; the key columns
+    come out once, under their names in ``df``.
 
     No strategy is forced: small key tables are broadcast by their size on disk, larger ones
     are shuffled and skewed keys split by AQE.
     """
+    if isinstance(on, dict):
+        taken = [c for c in keys.columns if c in on and on[c] != c and c not in on.values()]
+        if taken:
+            raise ValueError(f"columns of the keys named like the table's keys: {', '.join(taken)}")
+        keys = keys.withColumnsRenamed({theirs: ours for ours, theirs in on.items()})
+        on = list(on)
     return df.join(keys, on, how)
 
 

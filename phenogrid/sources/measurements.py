@@ -55,6 +55,7 @@ def read_measurements(
         reader.option("sep", sep)
         .option("header", header)
         .option("nullValue", null_value)
+        .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)
     )
@@ -78,7 +79,8 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("sep", sep).option("header", True).option("nullValue", "NA")
+        # quotes inside quoted text are doubled, as in the files this reads
+        writer = writer.option("sep", sep).option("header", True).option("nullValue", "NA").option("escape", '"')
     writer.format(fmt).save(path)
 
 

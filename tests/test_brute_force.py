@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from phenogrid.operators import anova, distance, multiple, pca, permanova, posthoc, scale, summarize
+from phenogrid.operators import anova, distance, multiple, pca, permanova, posthoc, regression, relate, scale, summarize
 from phenogrid.operators.ordering import group_quantiles, quantile_points, running_counts
 
 
@@ -415,3 +415,48 @@ def test_all_permutations_are_equally_likely():
         for i, j in combinations(range(4), 2):  # pairs of images over a grid of 8 x 8
             seen = np.bincount(images[:, i] * 8 // n * 8 + images[:, j] * 8 // n, minlength=64).reshape(8, 8)
             assert ((seen - likely) ** 2 / likely).sum() < 63 + 4 * math.sqrt(2 * 63)
+
+
+def test_fitted_line_has_the_limits_of_a_textbook(spark):
+    rng = np.random.default_rng(12)
+    x = rng.random(15) * 10
+    y = 3 - 2 * x + rng.normal(size=15)
+    rows = [("f", float(a), float(b)) for a, b in zip(x, y)] + [("f", None, 1.0), ("f", 50.0, None)]
+    rows += [("two", 0.0, 1.0), ("two", 1.0, 2.0), ("flat", 2.0, 1.0), ("flat", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "f string, x double, y double")
+    got = regression.fitted_line(df, "f", "x", "y", points=4).toPandas().sort_values(["f", "point"])
+    line = got[got["f"] == "f"]
+    slope, intercept = np.polyfit(x, y, 1)
+    at = np.linspace(x.min(), x.max(), 4)
+    s = math.sqrt(((y - slope * x - intercept) ** 2).sum() / 13)
+    half = 2.160368656 * s * np.sqrt(1 / 15 + (at - x.mean()) ** 2 / ((x - x.mean()) ** 2).sum())  # t of 13, 95 %
+    for column, want in (("x", at), ("fit", slope * at + intercept), ("lwr", slope * at + intercept - half), ("upr", slope * at + intercept + half)):
+        np.testing.assert_allclose(line[column], want, rtol=1e-8)
+    two = got[got["f"] == "two"]
+    np.testing.assert_allclose(two["fit"], [1, 4 / 3, 5 / 3, 2])
+    assert two["lwr"].isna().all() and not (got["f"] == "flat").any()
+
+
+def test_ellipse_axes_are_those_of_the_covariance(spark):
+    rng = np.random.default_rng(13)
+    xy = rng.normal(size=(40, 2)) @ np.array([[3.0, 1.0], [0.0, 0.5]])
+    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in xy] + [("one", 1.0, 2.0)], "g string, pc1 double, pc2 double")
+    e = {r["g"]: r for r in pca.group_ellipse(df, "g").collect()}
+    values, vectors = np.linalg.eigh(np.cov(xy.T))
+    radius = math.sqrt(39 * math.expm1(-2 / 39 * math.log(0.05)))
+    assert e["g"]["radius"] == pytest.approx(radius)
+    assert e["g"]["major"] == pytest.approx(radius * math.sqrt(values[1])) and e["g"]["minor"] == pytest.approx(radius * math.sqrt(values[0]))
+    assert abs(math.cos(e["g"]["angle"]) * vectors[0, 1] + math.sin(e["g"]["angle"]) * vectors[1, 1]) == pytest.approx(1)
+    assert e["one"]["radius"] is None
+
+
+def test_keys_of_other_names(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, v string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "key int, w string")
+    rows = lambda how: sorted(map(tuple, relate.attach_keys(left, right, {"id": "key"}, how).collect()), key=str)
+    assert relate.attach_keys(left, right, {"id": "key"}, "left").columns == ["id", "v", "w"]
+    assert rows("inner") == [(1, "a", "x"), (1, "a", "y")]
+    assert rows("left") == [(1, "a", "x"), (1, "a", "y"), (2, "b", None), (None, "c", None)]
+    assert rows("right") == [(1, "a", "x"), (1, "a", "y"), (3, None, "z")]
+    with pytest.raises(ValueError, match="id"):
+        relate.attach_keys(left, right.withColumn("id", F.lit(1)), {"id": "key"})

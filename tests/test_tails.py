@@ -57,3 +57,35 @@ def test_undefined_stays_undefined():
     assert np.isnan(tails.t_two_sided([np.nan, 1.0], [5, 0])).all()
     assert np.isnan(tails.f_upper([np.nan, 1.0], [1, 0], [5, 5])).all()
     assert np.isnan(tails.tukey_upper([np.nan, 1.0], [3, 1], [5, 5])).all()
+
+
+@pytest.mark.parametrize("df", [1, 2, 3.5, 17, 1000])
+def test_range_of_two_far_out(df):
+    q = np.array([0.0, 1e-3, 0.5, 3.0, 16.0, 40.0, 300.0, 3000.0])
+    want = tails.t_two_sided(q / math.sqrt(2), df)
+    seen = want > (1e-25 if df > 100 else 1e-200)  # ranges of normals are tabulated up to 16
+    np.testing.assert_allclose(tails.tukey_upper(q, 2, df)[seen], want[seen], rtol=1e-8)
+
+
+@pytest.mark.parametrize("k", [3, 8, 40])
+def test_range_of_many_for_many_degrees_of_freedom(k):
+    """With ever more degrees of freedom the tail becomes that of the range itself."""
+    r = np.array([0.5, 2.0, 5.0, 9.0])
+    z = np.linspace(-9, 22, 60001)
+    pdf, cdf = np.exp(-z * z / 2) / math.sqrt(2 * math.pi), np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    for at in r:
+        under = np.interp(z - at, z, cdf)
+        want = 1 - k * np.trapezoid(pdf * (cdf - under) ** (k - 1), z)
+        assert tails.tukey_upper([at], k, 1e8)[0] == pytest.approx(want, rel=1e-5, abs=1e-9)
+
+
+def test_quantiles_bring_tails_back():
+    rng = np.random.default_rng(2)
+    p = np.concatenate([10.0 ** rng.uniform(-12, 0, 300), 1 - 10.0 ** rng.uniform(-6, 0, 100)])
+    p = np.clip(p, 1e-12, 1 - 1e-6)
+    a, b = 10.0 ** rng.uniform(0, 3, 400), 10.0 ** rng.uniform(0, 4, 400)
+    np.testing.assert_allclose(tails.f_upper(tails.f_quantile(p, a, b), a, b), p, rtol=1e-9)
+    np.testing.assert_allclose(tails.f_quantile(p, 2.0, b), b / 2 * np.expm1(-2 / b * np.log(p)), rtol=1e-9)
+    np.testing.assert_allclose(tails.t_quantile(0.05, [1, 10, 60]), [12.7062047, 2.2281389, 2.0002978], rtol=1e-7)
+    np.testing.assert_allclose(tails.t_two_sided(tails.t_quantile(p, b), b), p, rtol=1e-9)
+    assert np.isnan(tails.f_quantile([0.0, 1.0, np.nan, 0.5], [1, 1, 1, 0], 5)).all()
