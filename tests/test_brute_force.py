@@ -460,3 +460,56 @@ def test_keys_of_other_names(spark):
     assert rows("right") == [(1, "a", "x"), (1, "a", "y"), (3, None, "z")]
     with pytest.raises(ValueError, match="id"):
         relate.attach_keys(left, right.withColumn("id", F.lit(1)), {"id": "key"})
+
+
+@pytest.mark.parametrize("fall", [0.5, 0.97, 1.0])
+def test_leading_axes_of_a_wide_matrix(fall):
+    """Also where eigenvalues lie close together, and far more columns than the basis holds."""
+    rng = np.random.default_rng(14)
+    width, k = 600, 3
+    turn = np.linalg.qr(rng.normal(size=(width, width)))[0]
+    true = 10 * fall ** np.arange(width) + np.linspace(1, 0, width)
+    matrix = (turn * true) @ turn.T
+    seen = []
+    values, vectors = pca.leading_axes(lambda basis: seen.append(basis.shape) or matrix @ basis, width, k)
+    np.testing.assert_allclose(values, true[:k], rtol=1e-9)
+    np.testing.assert_allclose(matrix @ vectors, vectors * values, atol=1e-8)
+    assert all(w == width and c <= k + pca.EXTRA for w, c in seen)  # all that a round sends
+    with pytest.raises(ArithmeticError):
+        pca.leading_axes(lambda basis: matrix @ basis, width, k, rounds=1)
+
+
+def test_axes_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(200, 40)) @ rng.normal(size=(40, 40))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "s int, v array<double>").repartition(7)
+    whole = pca.pca(df, ["s"], "v", 3)
+    monkeypatch.setattr(pca, "CELLS", 100)
+    monkeypatch.setattr(pca, "_PART", 7)
+    cut = pca.pca(df, ["s"], "v", 3)
+    for a, b in zip(whole, cut):
+        for r, w in zip(sorted(a.collect()), sorted(b.collect())):
+            assert tuple(r) == pytest.approx(tuple(w), abs=1e-7)
+    np.testing.assert_allclose([r["eigenvalue"] for r in sorted(whole.eigen.collect())], np.linalg.eigvalsh(np.corrcoef(x.T))[::-1][:3])
+    with pytest.raises(ValueError):
+        pca.pca(df, ["s"], "v", 41)
+
+
+def test_sparse_packing_holds_the_known_values_only(spark):
+    rng = np.random.default_rng(16)
+    width, rows = 400, []
+    for s in range(50):
+        for at in rng.choice(width, 8, replace=False):  # 2 %
+            rows.append((f"s{s}", f"f{at}", float(rng.integers(-3, 4))))
+    rows += [("s0", "f0", None), ("none", "f1", None), ("s1", "other", 5.0), ("ends", "f0", 1.0), ("ends", f"f{width - 1}", 0.0)]
+    df = spark.createDataFrame(rows, "s string, f string, v double")
+    names = [f"f{i}" for i in range(width)]
+    sparse = {r["s"]: r for r in scale.pack_sparse(df, ["s"], "f", "v", names).collect()}
+    known = {(s, f): v for s, f, v in rows if v is not None and f in names}
+    assert sum(len(r["positions"]) for r in sparse.values()) == len(known) and "none" not in sparse
+    assert sparse["ends"]["positions"] == [0, width - 1] and sparse["ends"]["values"] == [1.0, 0.0]
+    dense = scale.pack_vectors(df, ["s"], "f", "v", names, missing=9.5)
+    for r in dense.collect():
+        assert list(r["vector"]) == [known.get((r["s"], f), 9.5) for f in names]
+    text = dense._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Pandas" not in text
