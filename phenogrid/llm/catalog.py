@@ -199,13 +199,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "op7_approximate_nearest_neighbours",
-    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
- ok AS (SELECT vec_id, min(e) AS e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
- AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY vec_id),
- s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
- FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+    """WITH v AS (SELECT vec_id, row_number() OVER () AS row, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ ok AS (SELECT * FROM v WHERE e IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+ AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+ FROM ok q JOIN ok c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
- (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+ (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
 )
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = vectors.search(table(spark, folder, "embeddings"), "vec_id", "embedding", 20, 20)

@@ -27,9 +27,29 @@ MAP_SCHEMA = T.StructType(
 )
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """Virtual slot of a key. A NULL key has a slot of its own kind: that of the empty string."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def record_hash(key: Column, text: Column) -> Column:
+    """Hash of a record: of its key and its text, so that neither a key nor a text that many
+    records share makes a slot large. NULL counts like an empty string."""
+    return F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+
+
+def slot_of(record: Column, copy: Column, slots: int = SLOTS) -> Column:
+    """Virtual slot of a record by its hash. ``copy`` tells equal records apart; 0 where there is one."""
+    return F.pmod(F.xxhash64(record, copy), F.lit(slots)).cast("int")
+
+
+def publish_map(slot_map: DataFrame, folder: str) -> None:
+    """Add a version of the map to ``folder``, which keeps all versions."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/version={version}")
+
+
+def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The map of a version, or the latest one."""
+    known = spark.read.parquet(folder.rstrip("/"))
+    if version is None:
+        version = known.agg(F.max("version")).first()[0]
+    return known.where(F.col("version") == version).select([F.col(f.name).cast(f.dataType) for f in MAP_SCHEMA])
 
 
 def slot_bytes(sized: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -97,12 +117,11 @@ def shard_records(records: DataFrame, key: str, text: str, shards: int, slots: i
 
     Returns ``(placed, slot_map)``. ``placed`` keeps one narrow row per record: the key,
     ``size`` (UTF-8 bytes of the text plus 1), ``text_crc32``, ``slot_id`` (virtual slot),
-    ``shard`` and ``place`` (gapless from 0 within the shard). The slot of a record is decided by
-    its key alone, except that records repeating one key share a slot: a key that repeats is as
-    large as its records.
+    ``shard`` and ``place`` (gapless from 0 within the shard). Key and text of a record decide its
+    slot, so records that share one of them spread; records equal in both are numbered, and spread too.
 
-    NULL text has size 1 and the checksum of the empty text; NULL keys share the slot of the empty
-    string; repeated rows are all placed; an empty table gives no rows and an empty-slot map.
+    NULL text has size 1 and the checksum of the empty text; NULL keys count as empty strings;
+    repeated rows are all placed; an empty table gives no rows and an empty-slot map.
     Columns other than key and text are ignored, whatever their names.
 
     The numbering never sorts a shard in one task: rows are numbered within (slot, salt), the salt
@@ -114,8 +133,16 @@ def shard_records(records: DataFrame, key: str, text: str, shards: int, slots: i
         records[key].alias("_key"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(F.encode(body, "utf-8")).alias("text_crc32"),
-        slot_of(records[key], slots).alias("slot_id"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"),
+        record_hash(records[key], records[text]).alias("_hash"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    sized = stage(sized)
+    # only records that have equals need to know which one of them they are
+    repeated = stage(sized.groupBy("_hash").count().where("count > 1").select("_hash", F.lit(True).alias("_many")))
+    copy = F.when(F.col("_many"), F.col("_row")).otherwise(F.lit(0).cast("long"))
+    sized = sized.join(repeated, "_hash", "left").select(
+        "_key", "size", "text_crc32", slot_of(F.col("_hash"), copy, slots).alias("slot_id"),
+        F.pmod("_row", F.lit(salts)).cast("int").alias("salt"),
     )
     sized = stage(sized)
     slot_map = stage(first_map(spark, slot_bytes(sized, slots), shards))

@@ -33,6 +33,33 @@ def test_sharding(spark):
     assert placed.count() == 0 and slot_map.count() == sharding.SLOTS
 
 
+@pytest.mark.parametrize("rows", [
+    [(None if i % 2 else i, f"text {i} " + "x" * (i % 50)) for i in range(20000)],
+    [(-1 if i % 2 else i, f"text {i} " + "x" * (i % 50)) for i in range(20000)],
+    [(i, "one text that half of all share" if i % 2 else f"other {i} " + "y" * (i % 40)) for i in range(20000)],
+    [(3, "equal rows") if i % 2 else (i, f"other {i} " + "y" * (i % 40)) for i in range(20000)],
+], ids=["null keys", "one key", "one text", "equal rows"])
+def test_sizes_are_near_equal_whatever_repeats(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed, slot_map = sharding.shard_records(df, "doc_id", "text", 16)
+    load = [r[0] for r in placed.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(load) == 16 and max(load) <= 1.02 * min(load)
+    assert slot_map.agg(F.sum("bytes")).first()[0] == sum(load)
+
+
+def test_maps_are_kept_by_version(spark, tmp_path):
+    one = sharding.first_map(spark, [5, 1, 7, 3] * 16, 4)
+    two = sharding.rebalance(one, 5)
+    for m in (one, two):
+        sharding.publish_map(m, str(tmp_path / "map"))
+    rows = lambda m: sorted(map(tuple, m.collect()))
+    assert rows(sharding.read_map(spark, str(tmp_path / "map"))) == rows(two)
+    back = sharding.read_map(spark, str(tmp_path / "map"), 1)
+    assert rows(back) == rows(one) and back.schema == sharding.MAP_SCHEMA
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        sharding.publish_map(one, str(tmp_path / "map"))
+
+
 def test_rebalancing(spark):
     sizes = [(i * 7919) % 1000 + 1 for i in range(512)]
     one = sharding.first_map(spark, sizes, 8)
@@ -56,15 +83,18 @@ def test_vectors(spark, n, monkeypatch):
     draw = np.random.default_rng(2)
     x = np.round(draw.normal(size=(n, 6)), 1)  # rounding makes ties
     x[1::5] *= 1e3
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(1000, None), (1020, [0.0] * 6), (1040, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1060, [float("nan")] * 6), (1080, [float("inf")] * 6), (1100, []), (None, [1.0] * 6), (0, x[0].tolist()), (1120, [2.0, 2.0])]
+    x = np.vstack([x, [x[0] * 3, x[0] * 3, x[1]]])
+    ids = [*range(n), 0, 0, 1]  # rows that repeat an id, with the same vector and with others
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)]
+    odd = [(1000, None), (1020, [0.0] * 6), (1040, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1060, [float("nan")] * 6), (1080, [float("inf")] * 6), (1100, []), (None, [1.0] * 6), (1120, [2.0, 2.0])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], "vec_id long, embedding array<double>, rank int, score int")
-    got = [tuple(r) for r in vectors.search(df, "vec_id", "embedding", 20, 5).orderBy("query_id", "rank").collect()]
     want = []
-    for q in range(0, n, 20):
-        scores = sorted((-float(np.cumsum(x[q] * x[j])[-1]), j) for j in range(n) if j != q)[:5]
-        want += [(q, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
-    assert got == want
+    for q in range(len(x)):
+        scores = sorted((-float(np.cumsum(x[q] * x[j])[-1]), ids[j]) for j in range(len(x)) if j != q)[:5]
+        want += [(ids[q], r, j, -s) for r, (s, j) in enumerate(scores, 1) if ids[q] % 20 == 0]
+    for parts in (1, 40):
+        got = vectors.search(df.repartition(parts), "vec_id", "embedding", 20, 5).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
     assert vectors.search(df.where("false"), "vec_id", "embedding", 20, 5).count() == 0
 
 
