@@ -16,18 +16,19 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 _PART = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE = 300_000
+_CACHE_BYTES = 96 << 20  # of segmentations that a worker keeps for the next time a part occurs
 _loaded: dict[str, Pieces] = {}  # of this worker, by the vocabulary's place
-_LONG = 4096  # parts beyond this length are not kept in the cache
 
 
 class Pieces:
@@ -46,7 +47,8 @@ class Pieces:
         self.miss = min((s for _, s in self.ids.values()), default=0.0) - 10.0
         whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = (lambda t: [t] if t else []) if whole else _PART.findall
-        self.cache: dict[tuple[str, int], tuple] = {}
+        self.cache: dict[tuple[str, int], list] = {}
+        self.held = 0  # bytes in the cache, about
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -129,10 +131,14 @@ class Pieces:
         found = self.cache.get(key)
         if found is None:
             found = self.search(part, n)
-            if len(part) <= _LONG:
-                if len(self.cache) >= _CACHE:
+            # sizes of Python objects: what stands around a part and each of its segmentations
+            size = 300 + 4 * len(part) + sum(150 + 8 * len(ids) for _, ids in found)
+            if size < _CACHE_BYTES // 64:
+                if self.held + size > _CACHE_BYTES:
                     self.cache.clear()
+                    self.held = 0
                 self.cache[key] = found
+                self.held += size
         return found
 
     def scores(self, text: str | None, n: int) -> tuple[list[float], list[int]]:
@@ -202,30 +208,44 @@ def add_encoding(
     """
     held = df.sparkSession.sparkContext.broadcast(Pieces.load(model).table)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if model not in _loaded:  # a worker keeps its cache from task to task
             _loaded[model] = Pieces(held.value)
         pieces = _loaded[model]
         for texts in batches:
-            rows = []
-            for t in texts:
+            # numbers of all rows one behind the other, and where each list ends
+            first, first_ends, every, every_ends = array("i"), [0], array("i"), [0]
+            scores, score_ends, exact = array("d"), [0], []
+            for t in texts.to_pylist():
                 found = pieces.encode(t, n)
-                score, ids = found[0]
-                # the ranks after the first, one behind the other
-                rest = np.array([i for _, more in found[1:] for i in more], np.int32) if ranked else np.empty(0, np.int32)
-                sizes = [len(more) for _, more in found]
-                rows.append((np.array(ids, np.int32), score, [s for s, _ in found], pieces.decode(ids) == (t or ""), rest, sizes))
-            ids, score, nbest, exact, rest, sizes = zip(*rows) if rows else ((),) * 6
-            out = {"ids": ids, "score": np.array(score, float), "nbest": nbest, "exact": np.array(exact, bool)}
-            yield pd.DataFrame(out | {"rest": rest, "sizes": sizes})
-
-    schema = "ids array<int>, score double, nbest array<double>, exact boolean, rest array<int>, sizes array<int>"
-    made = df.withColumn(into, F.pandas_udf(run, schema)(F.col(text)))
+                for rank, (score, ids) in enumerate(found):
+                    scores.append(score)
+                    if rank == 0:
+                        first.extend(ids)
+                        exact.append(pieces.decode(ids) == (t or ""))
+                    if ranked:
+                        every.extend(ids)
+                        every_ends.append(len(every))
+                first_ends.append(len(first))
+                score_ends.append(len(scores))
+            ends = pa.array(score_ends, pa.int32())
+            numbers = pa.array(np.frombuffer(scores)) if scores else pa.array([], pa.float64())
+            ints = lambda x: pa.array(np.frombuffer(x, np.int32)) if len(x) else pa.array([], pa.int32())
+            best = numbers.take(ends.slice(0, len(exact)))
+            columns = {"ids": pa.ListArray.from_arrays(pa.array(first_ends, pa.int32()), ints(first)), "score": best}
+            columns |= {"nbest": pa.ListArray.from_arrays(ends, numbers), "exact": pa.array(exact, pa.bool_())}
+            if ranked:
+                lists = pa.ListArray.from_arrays(pa.array(every_ends, pa.int32()), ints(every))
+                pairs = pa.StructArray.from_arrays([numbers, lists], ["score", "ids"])
+                columns["ranked"] = pa.ListArray.from_arrays(ends, pairs)
+            yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    schema = "ids array<int>, score double, nbest array<double>, exact boolean"
+    if ranked:
+        schema += ", ranked array<struct<score: double, ids: array<int>>>"
+    made = df.withColumn(into, F.arrow_udf(run, schema)(F.col(text)))
     if ranked:
-        every, sizes = F.concat(f"{into}.ids", f"{into}.rest"), F.col(f"{into}.sizes")
-        start = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(1), lambda a, x: a + x)
-        cut = lambda score, i: F.struct(score.alias("score"), F.slice(every, start(i), F.element_at(sizes, i + 1)).alias("ids"))
-        made = made.withColumn(ranked, F.transform(f"{into}.nbest", cut))
+        made = made.withColumn(ranked, F.col(f"{into}.ranked"))
     return made.withColumn(into, F.struct(*[F.col(f"{into}.{c}") for c in ("ids", "score", "nbest", "exact")]))
 
 
