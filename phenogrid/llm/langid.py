@@ -164,7 +164,10 @@ def fit(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROW
             yield pd.DataFrame({"h": rows["_h"], "lang": rows["lang"].astype(object), "b": b, "c": c})
 
     made = sample.mapInPandas(run, "h long, lang string, b array<int>, c array<long>")
-    rows = made.where(F.size("b") > 0).dropDuplicates(["h"]).orderBy("h").toLocalIterator()
+    # of a text with several languages the most frequent one counts, the first of equals
+    votes = made.where(F.size("b") > 0).groupBy("h", "lang").agg(F.count("*").alias("n"), F.first("b").alias("b"), F.first("c").alias("c"))
+    best = votes.groupBy("h").agg(F.min(F.struct(-F.col("n"), "lang", "b", "c")).alias("best"))
+    rows = best.select("h", "best.lang", "best.b", "best.c").orderBy("h").toLocalIterator()
     kept = [(r["h"], np.array(r["b"]), np.array(r["c"]), r["lang"]) for r in rows]
     held_back = np.array([(h >> 7) % 5 == 0 for h, *_ in kept], bool)
     return train([r[1:] for r in kept], held_back, buckets)

@@ -94,13 +94,15 @@ def scan_versions(
     text: str,
     rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES,
     ledger: tuple[DataFrame, DataFrame] | None = None,
+    known: DataFrame | None = None,
 ):
     """Scan the blobs of ``files`` that ``ledger`` does not know yet.
 
     Returns ``(findings, scanned, found, paths)``. ``findings`` has one row per path, version and
     match of any blob, old or new: ``path, version, blob, kind, rule_version, start, stop, value``.
     ``scanned`` (blob, kind, version) and ``found`` are the new ledger, to be written by the
-    caller; ``paths`` is the blob of every path and version.
+    caller; ``paths`` is the blob of every path and version. ``known`` (columns as ``files``) names all
+    files that findings go to, where they are more than the delivery that is scanned.
 
     NULL text is a blob like the empty text. NULL paths and versions are kept as they are. Rows
     that repeat a path and version with the same text count once; with different texts each text
@@ -115,9 +117,12 @@ def scan_versions(
     named = files.select(
         files[path].alias("path"), files[version].alias("version"), body.alias("body"), F.sha2(body, 256).alias("blob")
     )
-    paths = stage(named.select("path", "version", "blob").distinct())
+    paths = fresh_paths = stage(named.select("path", "version", "blob").distinct())
+    if known is not None:
+        content = F.sha2(F.coalesce(known[text], F.lit("")), 256)
+        paths = stage(known.select(known[path].alias("path"), known[version].alias("version"), content.alias("blob")).distinct())
     # one path and version stands for each blob; its text is the one that gets scanned
-    blobs = paths.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
+    blobs = fresh_paths.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
     wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
     asked = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     pairs = blobs.select("blob", "at", F.explode(asked).alias("r"))
@@ -141,7 +146,8 @@ def scan_versions(
     scanned = old_scanned.unionByName(done)
     found = old_found.unionByName(new_found)
     now = found.join(F.broadcast(wanted), ["kind", "version"], "left_semi").withColumnRenamed("version", "rule_version")
-    findings = paths.join(now, "blob").select(
+    # staged: a blob of very many paths can then be split
+    findings = paths.join(stage(now), "blob").select(
         "path", "version", "blob", "kind", "rule_version", "start", "stop", "value"
     )
     return findings, scanned, found, paths

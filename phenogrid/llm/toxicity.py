@@ -1,10 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-An expression (a word) is scored by two character models, one of toxic and one of ordinary texts,
-with absolute discounting at every order. Both back off to one distribution of continuation counts
-shared by the classes, so an expression neither class knows gives no evidence. The difference of
-the two log-likelihoods, divided by the length, is the evidence of an expression and of a text; a
-logistic curve fitted on texts held back from the counts turns it into a probability.
+An expression (a word) is scored by two character models, one of toxic and one of ordinary texts.
+Only the highest order, five letters, holds counts of a class. It is discounted and backs off to
+orders of fewer letters that both classes share: there a gram counts by the number of different
+letters that stand before it in any word of either class, so a rare expression leans on how freely its
+parts combine, and one that neither class knows gives no evidence. (A gram that begins the word has
+no letter before it; it is a highest order, too.) The difference of the two log-likelihoods, divided
+by the length, is the evidence of an expression and of a text: :meth:`Model.rate` is that comparison
+alone. The score puts it, the strongest words and the strongest run of words on a logistic curve
+fitted on texts held back from the counts.
+
+Counts come from all labelled texts, and the tables grow with them.
 """
 
 from __future__ import annotations
@@ -22,10 +28,11 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage, unstage
 from .sampling import labelled_sample
 
-SAMPLE_ROWS = 6000  # per class
-BUCKETS = 1 << 19
+SAMPLE_ROWS = 6000  # per class, for the curve
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 18, 1 << 22
 ORDER = 5
 DISCOUNT = 0.75
+LETTERS = 1 << 12  # a letter never seen has one chance in so many
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CACHE = 100_000
@@ -83,14 +90,14 @@ def _contexts(words: list[str]) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Tables of fixed size by hash. ``gram[k]`` and ``context[k]`` hold counts per class, ``kinds[k]``
-    the number of different letters that follow a context, per class; ``base`` is the shared
-    continuation distribution over letters."""
+    """Tables by hash. ``gram`` and ``context`` hold counts of the highest order per class, ``kinds`` the
+    number of different letters after a context, per class. ``lower[k]`` holds the same three for the
+    shared order of k + 1 letters, in numbers of different letters before."""
 
-    gram: np.ndarray  # (ORDER - 1, 2, buckets)
+    gram: np.ndarray  # (2, buckets)
     context: np.ndarray
     kinds: np.ndarray
-    base: np.ndarray  # over hashed letters
+    lower: np.ndarray  # (ORDER - 1, 3, buckets)
     curve: np.ndarray = field(default_factory=lambda: np.zeros(5))
     shift: np.ndarray = field(default_factory=lambda: np.zeros(4))
     scale: np.ndarray = field(default_factory=lambda: np.ones(4))
@@ -101,19 +108,26 @@ class Model:
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        buckets = np.uint64(self.gram.shape[2])
-        codes, hashes, owner, _ = _grams(words)
-        contexts = _contexts(words)
-        low = self.base[(codes * np.uint64(40503)) % np.uint64(len(self.base))]
-        p = [low, low]
+        buckets = np.uint64(self.gram.shape[1])
+        codes, hashes, owner, depth = _grams(words)
+        contexts = [np.zeros(len(codes), np.uint64), *_contexts(words)]
+        places = lambda h: ((h >> np.uint64(20)) % buckets).astype(np.int64)
+        smooth = lambda grams, total, kinds, p: np.where(
+            total > 0, (np.maximum(grams - DISCOUNT, 0.0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p
+        )
+        p = np.full(len(codes), 1.0 / LETTERS)
         for k in range(ORDER - 1):
-            g, h = (hashes[k + 1] % buckets).astype(np.int64), (contexts[k] % buckets).astype(np.int64)
-            for c in (0, 1):
-                total = self.context[k, c, h]
-                known = np.maximum(self.gram[k, c, g] - DISCOUNT, 0.0) + DISCOUNT * self.kinds[k, c, h] * p[c]
-                p[c] = np.where(total > 0, known / np.maximum(total, 1), p[c])
-        gain = np.log(np.maximum(p[1], 1e-9)) - np.log(np.maximum(p[0], 1e-9))
-        return np.bincount(owner, gain, minlength=len(words))
+            grams, total, kinds = self.lower[k]
+            at, over = places(hashes[k]), places(contexts[k])
+            # an order counts where the word has a letter before its gram
+            p = np.where(depth > k, smooth(grams[at], total[over], kinds[over], p), p)
+        at, over = places(hashes[-1]), places(contexts[-1])
+        toxic, ordinary = (smooth(self.gram[c][at], self.context[c][over], self.kinds[c][over], p) for c in (1, 0))
+        return np.bincount(owner, np.log(toxic) - np.log(ordinary), minlength=len(words))
+
+    def rate(self, text: str | None) -> float:
+        """The comparison alone: log-likelihood of the toxic less that of the ordinary model, per letter."""
+        return float(self.features(text)[0])
 
     def of_words(self, words: list[str]) -> np.ndarray:
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
@@ -145,45 +159,48 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.curve[:4] + self.curve[4], -30, 30))))
 
 
-def _tables(words: DataFrame, buckets: int) -> Model:
-    """Counts of hashed grams from ``words(word, toxic, n)``. Each task emits its sparse counts;
-    their sums, at most ``buckets`` per table, go to the driver."""
+_SEEN = "k int, c int, context long, gram long, before long, n double"
+
+
+def _counts(words: list[str], times: np.ndarray, toxic: np.ndarray) -> pd.DataFrame:
+    """Rows of _SEEN: for the highest order (k = ORDER - 1) counts of each class; for the shared orders
+    one row for every gram with a different letter before it, class and count 0."""
+    _, hashes, owner, depth = _grams(words)
+    contexts = [np.zeros(len(owner), np.uint64), *_contexts(words)]
+    parts = [pd.DataFrame({"k": ORDER - 1, "c": toxic[owner], "context": contexts[-1].view(np.int64), "gram": hashes[-1].view(np.int64), "before": 0, "n": times[owner]})]
+    for k in range(ORDER - 1):
+        at = depth > k
+        longer = hashes[k + 1][at].view(np.int64)  # stands for the letter before
+        parts.append(pd.DataFrame({"k": k, "c": 0, "context": contexts[k][at].view(np.int64), "gram": hashes[k][at].view(np.int64), "before": longer, "n": 0.0}))
+    return pd.concat(parts).groupby(["k", "c", "context", "gram", "before"], as_index=False).sum()
+
+
+def _tables(words: DataFrame) -> Model:
+    """Counts from ``words(word, toxic, n)``. Each task emits its sparse counts; Spark adds them up by
+    gram, and their sums by bucket go to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if not len(rows):
-                continue
-            codes, hashes, owner, _ = _grams(list(rows["word"]))
-            contexts = _contexts(list(rows["word"]))
-            times, toxic = rows["n"].to_numpy(float)[owner], rows["toxic"].to_numpy(int)[owner]
-            for k in range(ORDER - 1):
-                yield pd.DataFrame(
-                    {
-                        "k": k,
-                        "c": toxic,
-                        "context": (contexts[k] % np.uint64(buckets)).astype(np.int64),
-                        "gram": (hashes[k + 1] % np.uint64(buckets)).astype(np.int64),
-                        "letter": codes.astype(np.int64),
-                        "n": times,
-                    }
-                ).groupby(["k", "c", "context", "gram", "letter"], as_index=False).sum()
-
-    seen = words.mapInPandas(run, "k int, c int, context long, gram long, letter long, n double")
-    grams = seen.groupBy("k", "c", "context", "gram", "letter").agg(F.sum("n").alias("n"))
-
-    grams = stage(grams)
-    model = Model(*[np.zeros((ORDER - 1, 2, buckets), np.float32) for _ in range(3)], np.zeros(1 << 12))
-    for table, key, value in (
-        (model.gram, "gram", F.sum("n")),
-        (model.context, "context", F.sum("n")),
-        (model.kinds, "context", F.count("*")),
-    ):
-        found = grams.groupBy("k", "c", key).agg(value.cast("double").alias("v")).toPandas()
-        table[found["k"], found["c"], found[key]] = found["v"]
-    # shared by both classes: in how many different contexts of one letter does a letter follow
-    pairs = grams.where("k = 0").select("context", "letter").distinct().groupBy("letter").count().toPandas()
-    np.add.at(model.base, (pairs["letter"].to_numpy(np.uint64) * np.uint64(40503)) % np.uint64(len(model.base)), pairs["count"])
-    model.base = (model.base + 0.5) / (model.base.sum() + 0.5 * len(model.base))
+            if len(rows):
+                yield _counts(list(rows["word"]), rows["n"].to_numpy(float), rows["toxic"].to_numpy(int))
+
+    seen = words.mapInPandas(run, _SEEN).groupBy("k", "c", "context", "gram", "before").agg(F.sum("n").alias("n"))
+    seen = stage(seen)
+    top = F.col("k") == ORDER - 1
+    # by gram: occurrences, or different letters before
+    grams = stage(seen.groupBy("k", "c", "context", "gram").agg(F.when(F.max(top), F.sum("n")).otherwise(F.count("*")).cast("double").alias("n")))
+    unstage(seen)
+    different = grams.count()
+    buckets = min(max(LEAST_BUCKETS, 1 << (2 * different).bit_length()), MOST_BUCKETS)
+    model = Model(*[np.zeros((2, buckets), np.float32) for _ in range(3)], np.zeros((ORDER - 1, 3, buckets), np.float32))
+    bucket = lambda c: F.pmod(F.shiftrightunsigned(c, 20), F.lit(buckets)).cast("int")
+    tables = (("gram", F.sum("n")), ("context", F.sum("n")), ("context", F.count("*")))
+    for i, (key, value) in enumerate(tables):
+        sums = grams.groupBy("k", "c", bucket(key).alias("at")).agg(value.cast("float").alias("v")).toArrow()
+        k, c, at, v = (sums.column(n).to_numpy() for n in ("k", "c", "at", "v"))
+        highest = k == ORDER - 1
+        (model.gram, model.context, model.kinds)[i][c[highest], at[highest]] = v[highest]
+        model.lower[k[~highest], i, at[~highest]] = v[~highest]
     unstage(grams)
     return model
 
@@ -192,7 +209,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept."""
     design = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(design.shape[1])
-    penalty = np.diag([0.05] * x.shape[1] + [1e-6])
+    penalty = np.diag([1.0] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (p - y) + penalty @ w
@@ -204,33 +221,46 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    docs: DataFrame, key: str, text: str, marks: DataFrame, toxic: str, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS
+    docs: DataFrame, key: str, text: str, marks: DataFrame, toxic: str, sample_rows: int = SAMPLE_ROWS
 ) -> Model:
-    """Fit on at most ``sample_rows`` different texts of ``docs`` for each class (0, 1), as
-    ``marks(key, toxic)`` labels them, one label per key.
+    """Fit on the texts of ``docs`` that ``marks(key, toxic)`` labels 0 or 1, one label per key.
 
-    Four fifths of the sample, chosen by the hash of the text, are counted; the rest fits the
-    curve. Rows with NULL text, key or label are not used. Without both classes every score is 0.5.
+    Four fifths of all of them, chosen by the hash of the text, are counted. Of the rest at most
+    ``sample_rows`` different texts per class fit the curve. Rows with NULL text, key or label are not
+    used. Without both classes every score is 0.5.
     """
-    sample = stage(labelled_sample(docs, key, text, marks.withColumnRenamed(toxic, "toxic"), "toxic", sample_rows))
-    back = F.pmod(F.shiftright("_h", 9), F.lit(5)) == 0
+    named = marks.select(F.col(key), F.col(toxic).cast("int").alias("toxic")).where("toxic in (0, 1)")
+    back = F.pmod(F.shiftright(F.xxhash64(text), 9), F.lit(5)) == 0
+    known = docs.select(key, text).where(F.col(text).isNotNull())
+    sample = stage(labelled_sample(known.where(back), key, text, named, "toxic", sample_rows))
+    learned = known.where(~back).join(named, key).select(F.col(text).alias("text"), "toxic")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[int, str], int] = Counter()
         for batch in batches:
-            for c in (0, 1):
-                found = Counter(w for t in batch["text"][batch["toxic"] == c] for w in words_of(t))
-                word = pd.Series(list(found), dtype=object)  # plain strings: one Arrow array, however many
-                yield pd.DataFrame({"word": word, "toxic": c, "n": pd.Series(list(found.values()), dtype=int)})
-
-    words = sample.where(~back).select("text", "toxic").mapInPandas(count, "word string, toxic int, n long")
-    model = _tables(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")), buckets)
+            for t, c in zip(batch["text"], batch["toxic"]):
+                for w in words_of(t):
+                    found[c, w] += 1
+            if len(found) > _CACHE:
+                yield counted(found)
+                found.clear()
+        if found:
+            yield counted(found)
+
+    def counted(found: Counter) -> pd.DataFrame:
+        toxic, word = zip(*found)
+        # plain strings: one Arrow array, however many
+        return pd.DataFrame({"word": pd.Series(word, dtype=object), "toxic": toxic, "n": pd.Series(list(found.values()), dtype=int)})
+
+    words = learned.mapInPandas(count, "word string, toxic int, n long")
+    model = _tables(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     held = sample.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([held.value.features(t) for t in texts], columns=list("abcd"))
 
-    marked = sample.where(back).select("toxic", F.pandas_udf(features, "a double, b double, c double, d double")("text").alias("f"))
+    marked = sample.select("toxic", F.pandas_udf(features, "a double, b double, c double, d double")("text").alias("f"))
     points = marked.select("toxic", "f.*").toPandas()
     unstage(sample)
     held.unpersist()
@@ -246,7 +276,7 @@ def add_score(df: DataFrame, text: str, model: Model, into: str = "toxicity") ->
 
     NULL, empty and wordless texts carry no evidence and get the score of zero evidence. Whole texts
     count. Repeated rows get equal scores. A column of that name is replaced. The model's tables
-    have a fixed size (``buckets``) and are broadcast.
+    grow with the letter grams of the labelled texts, to MOST_BUCKETS entries each, and are broadcast.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenogrid.llm import balltree, phrases, quality
+from phenogrid.llm import balltree, langid, phrases, quality, toxicity
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -252,3 +252,88 @@ def test_quality_of_documents(spark):
     none = quality.fit(df, "doc_id", "text", marks.where("mark = 1"), "mark")
     assert {r.q for r in quality.add_score(df, "text", none, "q").collect()} == {0.5}
     assert quality.add_score(df.where("false"), "text", model).count() == 0
+
+
+def slow_kneser_ney(counts, words):
+    """log P(word | 1) - log P(word | 0) by the book, over dictionaries of letter tuples."""
+    top, after, before = [Counter(), Counter()], [{}, {}], {}
+    for (word, c), n in counts.items():
+        letters = "\x02" + word + "\x03"
+        for i in range(1, len(letters)):
+            gram = letters[max(0, i - 4) : i + 1]
+            top[c][gram] += n
+            after[c].setdefault(gram[:-1], set()).add(gram[-1])
+            for k in range(4):
+                if i > k:
+                    before.setdefault(letters[i - k : i + 1], set()).add(letters[i - k - 1])
+    kinds, total = Counter(), Counter()
+    for gram, left in before.items():
+        kinds[gram[:-1], len(gram)] += 1
+        total[gram[:-1], len(gram)] += len(left)
+    context = [Counter(), Counter()]
+    for c in (0, 1):
+        for gram, n in top[c].items():
+            context[c][gram[:-1]] += n
+    out = []
+    for word in words:
+        letters, gain = "\x02" + word + "\x03", 0.0
+        for i in range(1, len(letters)):
+            p = 1 / toxicity.LETTERS
+            for k in range(4):
+                if i > k and total[letters[i - k : i], k + 1]:
+                    gram = letters[i - k : i + 1]
+                    whole = total[gram[:-1], k + 1]
+                    p = max(len(before.get(gram, ())) - 0.75, 0) / whole + 0.75 * kinds[gram[:-1], k + 1] / whole * p
+            gram = letters[max(0, i - 4) : i + 1]
+            each = []
+            for c in (0, 1):
+                whole = context[c][gram[:-1]]
+                each.append(max(top[c][gram] - 0.75, 0) / whole + 0.75 * len(after[c][gram[:-1]]) / whole * p if whole else p)
+            gain += math.log(each[1]) - math.log(each[0])
+        out.append(gain)
+    return out
+
+
+def test_kneser_ney_by_the_book(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))) for _ in range(30)]
+    counts = Counter()
+    for _ in range(200):
+        counts[rng.choice(vocab[:20]), 0] += 1
+        counts[rng.choice(vocab[10:]), 1] += 1
+    rows = [(w, c, n) for (w, c), n in counts.items()]
+    model = toxicity._tables(spark.createDataFrame(rows, "word string, toxic int, n long").repartition(3))
+    asked = vocab + ["zzz", "a", "bbbbbbbbbb", "éa"]
+    np.testing.assert_allclose(model.evidence(asked), slow_kneser_ney(counts, asked), rtol=1e-4, atol=1e-4)
+    assert model.evidence(["zqx"])[0] == pytest.approx(slow_kneser_ney(counts, ["zqx"])[0], abs=1e-4)
+    letters = len(asked[0]) + 1
+    assert model.rate(asked[0]) == pytest.approx(slow_kneser_ney(counts, asked[:1])[0] / letters, abs=1e-4)
+
+
+def test_language_probabilities_from_subwords(spark):
+    """The softmax again, from the text's own 1- to 4-grams and the model's weights."""
+    rng = random.Random(3)
+    sample = {"xx": "the house by the sea", "yy": "das haus an der see"}
+    rows = [(" ".join(rng.choices(t.split(), k=12)), lang) for lang, t in sample.items() for _ in range(60)]
+    rows += [(rows[0][0], "yy"), (rows[0][0], "xx"), (rows[0][0], "xx")]  # one text, several languages: the most frequent counts
+    df = spark.createDataFrame(rows, "text string, lang string")
+    models = [langid.fit(df.repartition(p), "text", "lang") for p in (1, 5)]
+    assert all((m.weight == models[0].weight).all() for m in models)
+    model = models[0]
+    for text in ("the sea", "haus, 12 SEE", "a"):
+        grams = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            marked = [0, *map(ord, word), 0]
+            grams += [marked[i : i + n] for n in range(1, 5) for i in range(len(marked) - n + 1) if n > 1 or marked[i]]
+        assert sum(len(p) for p in langid.subwords(text)) == len(grams)
+        seen = []
+        for g in grams:
+            mixed = 1
+            for c in g:
+                mixed = (mixed ^ c) * 0x9E3779B97F4A7C15 % 2**64
+                mixed ^= mixed >> 29
+            seen.append((mixed >> 13) % len(model.weight))
+        logits = model.weight[seen].sum(axis=0, dtype=float) / len(seen) + model.bias
+        p = np.exp(logits / model.temperature)
+        lang, score, _ = model.predict(text)
+        assert score == pytest.approx((p / p.sum()).max(), abs=1e-6) and lang == model.langs[int(p.argmax())]

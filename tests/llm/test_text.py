@@ -44,12 +44,14 @@ def test_subword_pieces_do_not_depend_on_their_size(monkeypatch):
     assert sorted(x for p in langid.subwords(text) for x in p.tolist()) == whole
 
 
-def test_toxicity_held_out(spark, documents):
-    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = catalog.QUERIES["op1_toxicity"](spark, FOLDER).join(labels, "doc_id").where("held_out").toPandas()
+def test_toxicity_held_out(spark):
+    # over 100 toxic rows; of the 18 of the smaller table four hold no toxic word, so chance ranks them
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = catalog.QUERIES["op1_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").toPandas()
     toxic, plain = found[found["toxic"] == 1]["score"], found[found["toxic"] == 0]["score"]
     better = (toxic.to_numpy()[:, None] > plain.to_numpy()[None, :]).mean()
-    assert len(toxic) > 5 and better > 0.9
+    assert len(toxic) > 100 and better > 0.9
     assert (plain < 0.7).mean() > 0.97
 
 
@@ -202,6 +204,30 @@ def test_secrets(spark, documents, tmp_path):
         assert r.n_assign + r.n_access + r.n_hex == len(want.split(",")) * bool(want)
 
 
+def test_every_span_of_every_kind(spark, tmp_path):
+    """pem and jwt besides the base kinds: whole spans by Python's re, in order."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB+/=\nab12\n-----END RSA PRIVATE KEY-----"
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.c2ln-_X"
+    texts = [key, f"é {jwt} token: {jwt}", f"{key} and {key}", f"password='{'x' * 12}' {jwt}", "eyJshort.eyJshort.x", key[:-5], None, "", "AKIA" + "B" * 14 + " " + "0123456789abcdef"]
+    texts += [texts[1]] * 40  # copies
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, key)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op2_secret_scans"](spark, str(tmp_path)).collect()
+
+    def slow(text):
+        found = []
+        for rank, rule in enumerate(secrets.BASE_RULES + secrets.MORE_RULES):
+            for m in re.finditer(rule.pattern, text or ""):
+                if len(m.group(rule.group)) >= rule.least:
+                    found.append((m.start(), rank, f"{rule.kind}:{m.start()}:{m.end()}"))
+        return ",".join(x[2] for x in sorted(found))
+
+    want = sorted(((k, slow(t)) for k, t in rows), key=str)
+    assert sorted(((r.doc_id, r.spans) for r in got), key=str) == want
+    assert any("pem" in s for _, s in want) and any("jwt" in s for _, s in want)
+
+
 def test_ledger(spark):
     first = spark.createDataFrame([("a", 1, "token=abcdefghijkl"), ("b", 1, "plain"), (None, None, None)], "p string, v int, t string")
     findings, scanned, found, _ = secrets.scan_versions(first, "p", "v", "t", secrets.BASE_RULES)
