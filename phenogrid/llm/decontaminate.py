@@ -131,9 +131,10 @@ class Automaton:
             if b - a + 1 >= self.least:
                 yield a, b + 1
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words are hit, and the items with a window in the document."""
-        hit = np.zeros(len(words) + 1, np.int32)  # +1 where a hit range starts, -1 after it
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str], np.ndarray]:
+        """Which words are hit, the items with a window in the document, and which words are hit by
+        an item shorter than a window, whole."""
+        hit, short = np.zeros((2, len(words) + 1), np.int32)  # +1 where a hit range starts, -1 after it
         items: set[str] = set()
         ids = np.fromiter(map(self.vocab.get, words, [-1] * len(words)), np.int64, len(words))
         step, link, length, window = self.next, self.link, self.length, self.window
@@ -158,10 +159,11 @@ class Automaton:
                         break
                     found = self.short.get((self._up(state, n), n))
                     if found:
-                        hit[i + 1 - n] += 1
-                        hit[i + 1] -= 1
+                        for marks in (hit, short):
+                            marks[i + 1 - n] += 1
+                            marks[i + 1] -= 1
                         items |= found
-        return np.cumsum(hit[:-1]) > 0, items
+        return np.cumsum(hit[:-1]) > 0, items, np.cumsum(short[:-1]) > 0
 
 
 def automata(told: DataFrame, window: int, part_words: int = PART_WORDS) -> list:
@@ -198,7 +200,7 @@ def mark(
 ) -> DataFrame:
     """``docs`` with a column ``hits``: ``n_words``, ``n_hit``, ``items`` (item ids as strings, sorted)
     and ``spans``, the (start, stop) in characters and number of words of every run
-    of hit words.
+    of hit words, and whether it holds a ``whole`` item of fewer words than a window.
 
     NULL, empty and word-less texts have no words and no hits; items without words have no windows;
     a NULL item id is the string ``null``; items of equal text all count; an empty benchmark hits
@@ -213,18 +215,21 @@ def mark(
             split = [words_of(t) for t in texts]
             hits = [np.zeros(len(w), bool) for w in split]
             items: list[set[str]] = [set() for _ in split]
+            whole = [np.zeros(len(w), bool) for w in split]
             for part in held:
                 automaton = part.value
                 for i, words in enumerate(split):
-                    found, owners = automaton.scan(words)
+                    found, owners, short = automaton.scan(words)
                     hits[i] |= found
+                    whole[i] |= short
                     items[i] |= owners
                 if len(held) > 1:
                     part.__dict__.pop("_value", None)  # the next part takes its place in memory
             spans = []
-            for t, h in zip(texts, hits):
+            for t, h, w in zip(texts, hits, whole):
                 places = word_places(t) if h.any() else []
-                spans.append([{"start": places[a][0], "stop": places[b - 1][1], "n": b - a} for a, b in _runs(h)])
+                made = [{"start": places[a][0], "stop": places[b - 1][1], "n": b - a, "whole": bool(w[a:b].any())} for a, b in _runs(h)]
+                spans.append(made)
             yield pd.DataFrame(
                 {
                     "n_words": [len(w) for w in split],
@@ -234,16 +239,16 @@ def mark(
                 }
             )
 
-    schema = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long,n:long>>"
+    schema = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long,n:long,whole:boolean>>"
     return docs.withColumn("hits", F.pandas_udf(run, schema)(F.col(text)))
 
 
 def remove(marked: DataFrame, text: str, longest: int = 9, coverage: float = 0.5) -> DataFrame:
     """Act on :func:`mark`. Where more than ``coverage`` of the words is hit, the text goes as a whole
-    (NULL). From the others every span of more than ``longest`` words is cut:
-    spans of hit words are at least one window long, so ``longest`` only spares windows of short
-    items. Texts without hits stay as they are."""
-    spans = F.filter("hits.spans", lambda s: s["n"] > longest)
+    (NULL). From the others every span of more than ``longest`` words is cut, and every span that
+    holds a whole item shorter than a window. Other spans are at least one window long, so
+    a larger ``longest`` spares the shorter of them. Texts without hits stay as they are."""
+    spans = F.filter("hits.spans", lambda s: (s["n"] > longest) | s["whole"])
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["stop"]))
     ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(F.col(text), a.cast("int") + 1, (b - a).cast("int")))

@@ -153,3 +153,13 @@ def test_document_dedup_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.dedup_documents(spark, docs, "").select("doc_id", "text").collect()
     assert sorted((r.text, r.doc_id) for r in got) == sorted([(own[0], None), (own[1], 7), (own[2], 4), (own[3], None)])
+
+
+def test_stages_keep_null_texts_and_ask_for_languages(spark, tmp_path):
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "plain words", None, "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.decontaminate_documents(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    with pytest.raises(ValueError, match="language"):
+        corpus_pipeline.identify_language(spark, docs, str(tmp_path))
+    assert corpus_pipeline.identify_language(spark, docs.where("text is null"), str(tmp_path)).count() == 0

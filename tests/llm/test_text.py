@@ -204,6 +204,18 @@ def test_secrets(spark, documents, tmp_path):
         assert r.n_assign + r.n_access + r.n_hex == len(want.split(",")) * bool(want)
 
 
+def test_short_items_are_cut_whole(spark):
+    items = spark.createDataFrame([(1, "Seven Brave Green Owls"), (2, " ".join(f"w{i}" for i in range(14))), (3, "?")], "item long, body string")
+    own = " ".join(f"k{i}" for i in range(40))
+    texts = [f"{own}. Seven, brave green OWLS! {own}", f"{own} w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 {own}", f"{own} brave green owls {own}", "seven brave green owls", own, None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string")
+    marked = decontaminate.mark(df, "body", items, "item", "body")
+    got = {r.id: r.body for r in decontaminate.remove(marked, "body").collect()}
+    assert got == {0: f"{own}. ! {own}", 1: f"{own}  {own}", 2: texts[2], 3: None, 4: own, 5: None, 6: ""}
+    assert {r.id: r.body for r in decontaminate.remove(marked, "body", longest=20).collect()}[1] == texts[1]
+    assert {r.id: [s.whole for s in r.hits.spans] for r in marked.collect()} == {0: [True], 1: [False], 2: [], 3: [True], 4: [], 5: [], 6: []}
+
+
 def test_every_span_of_every_kind(spark, tmp_path):
     """pem and jwt besides the base kinds: whole spans by Python's re, in order."""
     key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB+/=\nab12\n-----END RSA PRIVATE KEY-----"
