@@ -138,8 +138,12 @@ def _narrow(hashes: np.ndarray) -> np.ndarray:
 
 
 def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
-    keys = _key(_narrow(hashes))
+    return holds(bits, _key(_narrow(hashes)))
+
+
+def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the numbers a filter may hold."""
+    out = np.ones(len(keys), bool)
     for shift in (0, 32):
         p = (keys >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
         out &= ((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -22,10 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
+from .phrases import bloom, holds
 from .sampling import labelled_sample
 
 SAMPLE_ROWS = 6000  # per class, for the curve
@@ -233,7 +235,16 @@ def fit(
     back = F.pmod(F.shiftright(F.xxhash64(text), 9), F.lit(5)) == 0
     known = docs.select(key, text).where(F.col(text).isNotNull())
     sample = stage(labelled_sample(known.where(back), key, text, named, "toxic", sample_rows))
-    learned = known.where(~back).join(named, key).select(F.col(text).alias("text"), "toxic")
+    # texts without a label stay where they are: a filter of fixed size lets few of them into the join
+    labelled = known.sparkSession.sparkContext.broadcast(bloom(named.select(F.xxhash64(key).alias("h"))))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(holds(labelled.value, h)))
+
+    hashed = known.where(~back).select(key, text, F.xxhash64(key).alias("_h"))
+    learned = hashed.mapInArrow(some, hashed.schema).join(named, key).select(F.col(text).alias("text"), "toxic")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple[int, str], int] = Counter()
