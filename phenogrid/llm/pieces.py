@@ -7,8 +7,10 @@ to go for an A* search from the end back to the start, which therefore brings ou
 segmentations best first.
 
 No piece holds the space sign after another character, so a text falls apart before every run of
-space signs. Each part has a lattice of its own, and its n best segmentations are kept for the next
-time the part occurs. The n best of the text are searched best first over the choices of its parts.
+space signs. Each part has a lattice of its own, built on that of a part with the same beginning.
+Its best segmentation, and how much worse the second best is, are kept for the next time the part occurs;
+the search goes on to the n best in those parts that can differ among the n best of the text. These are
+searched best first over the choices of its parts.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, count, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _PART = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE_BYTES = 96 << 20  # of segmentations that a worker keeps for the next time a part occurs
+_CACHE_BYTES = 32 << 20  # of segmentations that a worker keeps for the next time a part occurs
+_TOGETHER = 60_000  # parts searched together
 _loaded: dict[str, Pieces] = {}  # of this worker, by the vocabulary's place
 
 
@@ -38,17 +43,22 @@ class Pieces:
     def __init__(self, table: list[tuple[str, float, str]]):
         self.table = table
         self.ids = {p: (i, s) for i, (p, s, kind) in enumerate(table) if kind == "normal"}
-        # beginnings of pieces; those that are pieces have a score and ids
-        self.prefixes: dict[str, tuple] = {p[:i]: () for p in self.ids for i in range(1, len(p) + 1)}
-        self.prefixes.update((p, (score, (i,))) for p, (i, score) in self.ids.items())
+        # ends of pieces; those that are pieces have a score and ids
+        self.ends: dict[str, tuple] = {p[i:]: () for p in self.ids for i in range(len(p))}
+        self.ends.update((p, (score, (i,))) for p, (i, score) in self.ids.items())
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(table) if kind == "byte"}
         self.unknown = next((i for i, t in enumerate(table) if t[2] == "unknown"), 0)
         # characters without a piece are worse than any piece
         self.miss = min((s for _, s in self.ids.values()), default=0.0) - 10.0
         whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = (lambda t: [t] if t else []) if whole else _PART.findall
-        self.cache: dict[tuple[str, int], list] = {}
+        # two generations of parts seen, each of at most half of the bytes
+        self.cache: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.held = 0  # bytes in the cache, about
+        # what an id stands for; bytes that are no character by themselves stand as lone surrogates
+        says = {"control": "", "unknown": " ⁇ "}
+        self.says = [says.get(kind, p) if kind != "byte" else bytes([int(p[3:5], 16)]).decode("ascii", "surrogateescape") for p, _, kind in table]
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -70,54 +80,98 @@ class Pieces:
         raw = char.encode("utf-8", "replace")
         return tuple(self.bytes[b] for b in raw) if all(b in self.bytes for b in raw) else (self.unknown,)
 
-    def lattice(self, part: str) -> tuple[list[float], list[list[tuple]]]:
-        """Forward pass: the best score from the start to every place, and for every place the
-        edges into it as (best score through the edge, start, score, ids)."""
-        size = len(part)
-        best = [0.0] + [-math.inf] * size
-        into: list[list] = [[] for _ in range(size + 1)]
-        get = self.prefixes.get
-        for a in range(size):
-            here = best[a]
-            if not get(part[a]):
-                edges = [(a + 1, self.miss, self._spell(part[a]))]
-            else:
-                edges = []
-            for b in range(a + 1, size + 1):
+    def lattice(self, part: str) -> list[list[tuple]]:
+        """Forward pass: for every place the edges into it as (best score from the start through the
+        edge, start, score, ids), best first."""
+        get, into = self.ends.get, [[(0.0, 0, 0.0, ())]]
+        for b in range(1, len(part) + 1):
+            a = b - 1
+            found = get(part[a])
+            edges = [] if found else [(into[a][0][0] + self.miss, a, self.miss, self._spell(part[a]))]
+            while found is not None:  # else no piece ends like this
+                if found:
+                    edges.append((into[a][0][0] + found[0], a, *found))
+                if not a:
+                    break
+                a -= 1
                 found = get(part[a:b])
-                if found is None:  # no piece starts like this
+            edges.sort(reverse=True)
+            into.append(edges)
+        return into
+
+    def firsts(self, parts: Iterable[str]) -> Iterator[tuple[str, tuple[float, float, tuple[int, ...]]]]:
+        """For every part how much worse the second best segmentation is than the best (infinite if there is
+        none), and the best as score and ids: the search as far as its first result.
+
+        The forward pass keeps the best edge into a place and the value of the second best. Places
+        of a beginning that a part shares with the one before are taken over, so parts come sorted.
+        """
+        get, miss, none = self.ends.get, self.miss, -math.inf
+        before, best, second, edge = "", [0.0], [none], [(0, 0.0, ())]
+        for part in parts:
+            same = 0
+            for x, y in zip(before, part):
+                if x != y:
                     break
-                if found:
-                    edges.append((b, *found))
-            for b, score, ids in edges:
-                through = here + score
-                into[b].append((through, a, score, ids))
-                if through > best[b]:
-                    best[b] = through
-        return best, into
+                same += 1
+            same += 1
+            del best[same:], second[same:], edge[same:]
+            for b in range(same, len(part) + 1):
+                a = b - 1
+                found = get(part[a])
+                high = low = none
+                if not found:
+                    at, score, ids = a, miss, self._spell(part[a])
+                    high = best[a] + miss
+                while found is not None:
+                    if found:
+                        through = best[a] + found[0]
+                        if through > high:
+                            high, low, at = through, high, a
+                            score, ids = found
+                        elif through > low:
+                            low = through
+                    if not a:
+                        break
+                    a -= 1
+                    found = get(part[a:b])
+                best.append(high)
+                second.append(low)
+                edge.append((at, score, ids))
+            before = part
+            at, gone, near, path = len(part), 0.0, none, []
+            while at:
+                if second[at] + gone > near:
+                    near = second[at] + gone
+                at, score, ids = edge[at]
+                gone += score
+                path.append(ids)
+            path.reverse()
+            yield part, (best[-1] - near, best[-1], tuple(chain.from_iterable(path)))
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a part as (score, ids), best first.
 
         A state of the search is a place and what lies behind it; its value is exact, so following
-        the best edge keeps it, and the next best edge of every place on the way waits in the
-        heap. Equal values come out in a fixed order.
+        the best edge keeps it, and the next best edge of every place on the way waits. Every state
+        that waits ends in a segmentation of its own, so no more wait than are still wanted.
+        Equal values come out in a fixed order.
         """
-        best, into = self.lattice(part)
-        heap = [(-best[-1], 0, len(part), 0, 0.0, None)]
-        turn, out, ordered = 0, [], set()
-        while heap and len(out) < n:
-            value, _, at, k, gone, tail = heapq.heappop(heap)
+        into = self.lattice(part)
+        waiting: list[tuple] = [(-into[-1][0][0], 0, len(part), 0, 0.0, None)]
+        turn, out = 0, []
+        while waiting and len(out) < n:
+            value, _, at, k, gone, tail = waiting.pop(0)
+            wanted = n - len(out) - 1
             while at:
                 edges = into[at]
-                if at not in ordered:
-                    ordered.add(at)
-                    edges.sort(reverse=True)
-                if n > 1 and k + 1 < len(edges):
+                if wanted and k + 1 < len(edges):
                     turn += 1
-                    heapq.heappush(heap, (-(edges[k + 1][0] + gone), turn, at, k + 1, gone, tail))
+                    waiting.append((-(edges[k + 1][0] + gone), turn, at, k + 1, gone, tail))
                 _, at, score, ids = edges[k]
                 k, gone, tail = 0, gone + score, (ids, tail)
+            waiting.sort(key=itemgetter(0, 1))
+            del waiting[wanted:]
             found: list[int] = []
             while tail:
                 found.extend(tail[0])
@@ -125,71 +179,80 @@ class Pieces:
             out.append((-value, tuple(found)))
         return out
 
-    def of_part(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The search of a part, kept for the next time the part occurs."""
-        key = (part, n)
-        found = self.cache.get(key)
-        if found is None:
-            found = self.search(part, n)
-            # sizes of Python objects: what stands around a part and each of its segmentations
-            size = 300 + 4 * len(part) + sum(150 + 8 * len(ids) for _, ids in found)
+    def _known(self, parts: set[str]) -> dict[str, tuple]:
+        """``firsts`` of all parts, kept for the next time the part occurs."""
+        known = {p: self.cache[p] for p in parts & self.cache.keys()}
+        known |= {p: self.older[p] for p in parts & self.older.keys()}
+        for part, found in self.firsts(sorted(parts - known.keys())):
+            known[part] = found
+            # sizes of Python objects: what stands around a part and its segmentation
+            size = 300 + 4 * len(part) + 8 * len(found[2])
             if size < _CACHE_BYTES // 64:
-                if self.held + size > _CACHE_BYTES:
-                    self.cache.clear()
-                    self.held = 0
-                self.cache[key] = found
+                if self.held + size > _CACHE_BYTES // 2:
+                    self.older, self.cache, self.held = self.cache, {}, 0
+                self.cache[part] = found
                 self.held += size
-        return found
-
-    def scores(self, text: str | None, n: int) -> tuple[list[float], list[int]]:
-        """Scores of the ``n`` best segmentations of a text, or of all if there are fewer, and the ids of the best."""
-        found = self.encode(text, n)
-        return [s for s, _ in found], found[0][1]
+        return known
 
-    def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a text as (score, ids), or all if there are fewer."""
-        choices = [self.of_part(p, n) for p in self.cut(self.normalise(text or ""))]
-        best: list[int] = []
-        starts = []
-        for c in choices:
-            starts.append(len(best))
-            best.extend(c[0][1])
-        total = math.fsum(c[0][0] for c in choices)
+    def _joined(self, parts: list[str], known: dict[str, tuple], deep: dict[str, list], n: int) -> list[tuple[float, array]]:
+        """The ``n`` best segmentations of a text from those of its parts."""
+        losses, scores, each = zip(*map(known.__getitem__, parts)) if parts else ((), (), ())
+        best = array("i", chain.from_iterable(each))
+        total = math.fsum(scores)
         # only the n - 1 parts with the smallest losses can differ in the n best
-        near = heapq.nsmallest(n - 1, ((c[0][0] - c[1][0], i) for i, c in enumerate(choices) if len(c) > 1))
-        at = sorted(i for _, i in near)
-        losses = {i: [choices[i][0][0] - s for s, _ in choices[i]] for i in at}
+        at = sorted(i for loss, i in heapq.nsmallest(n - 1, zip(losses, count())) if loss < math.inf)
+        starts = list(accumulate(map(len, each[: at[-1]]), initial=0)) if at else []
+        for i in at:
+            if parts[i] not in deep:
+                deep[parts[i]] = self.search(parts[i], n)
+        choices = {i: deep[parts[i]] for i in at}
+        worse = {i: [c[0][0] - s for s, _ in c] for i, c in choices.items()}
         heap, seen, out = [(0.0, (0,) * len(at))], {(0,) * len(at)}, []
         while heap and len(out) < n:
             loss, pick = heapq.heappop(heap)
-            ids, done = [], 0
+            ids, done = array("i"), 0
             for i, k in zip(at, pick):
                 if k:
                     ids += best[done : starts[i]]
-                    ids += choices[i][k][1]
-                    done = starts[i] + len(choices[i][0][1])
-            out.append((total - loss, ids + best[done:]))
+                    ids.extend(choices[i][k][1])
+                    done = starts[i] + len(each[i])
+            ids += best[done:]
+            out.append((total - loss, ids))
             for j, i in enumerate(at):
                 more = (*pick[:j], pick[j] + 1, *pick[j + 1 :])
                 if more[j] < len(choices[i]) and more not in seen:
                     seen.add(more)
-                    heapq.heappush(heap, (sum(losses[x][k] for x, k in zip(at, more)), more))
+                    heapq.heappush(heap, (sum(worse[x][k] for x, k in zip(at, more)), more))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            piece, _, kind = self.table[i]
-            if kind == "byte":
-                raw.append(int(piece[3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append("" if kind == "control" else " ⁇ " if kind == "unknown" else piece)
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+    def encode_all(self, texts: Iterable[str | None], n: int) -> Iterator[list[tuple[float, array]]]:
+        """``encode`` of every text, with ids as arrays. The parts of some texts are searched together, a
+        few tens of thousands at a time (or those of one longer text)."""
+        group: list[list[str]] = []
+        size = 0
+        for last, text in chain(zip(repeat(False), texts), [(True, None)]):
+            if not last:
+                group.append(self.cut(self.normalise(text or "")))
+                size += len(group[-1])
+            if last or size > _TOGETHER:
+                known, deep = self._known(set(chain.from_iterable(group))), {}
+                for parts in group:
+                    yield self._joined(parts, known, deep, n)
+                group, size = [], 0
+
+    def scores(self, text: str | None, n: int) -> tuple[list[float], list[int]]:
+        """Scores of the ``n`` best segmentations of a text, or of all if there are fewer, and the ids of the best."""
+        found = self.encode(text, n)
+        return [s for s, _ in found], found[0][1]
+
+    def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
+        """The ``n`` best segmentations of a text as (score, ids), or all if there are fewer."""
+        return [(score, ids.tolist()) for score, ids in next(self.encode_all([text], n))]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        text = "".join(map(self.says.__getitem__, ids))
+        # bytes in a row become characters together
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -216,8 +279,8 @@ def add_encoding(
             # numbers of all rows one behind the other, and where each list ends
             first, first_ends, every, every_ends = array("i"), [0], array("i"), [0]
             scores, score_ends, exact = array("d"), [0], []
-            for t in texts.to_pylist():
-                found = pieces.encode(t, n)
+            told = texts.to_pylist()
+            for t, found in zip(told, pieces.encode_all(told, n)):
                 for rank, (score, ids) in enumerate(found):
                     scores.append(score)
                     if rank == 0:

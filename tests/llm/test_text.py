@@ -102,6 +102,40 @@ def test_nbest(vocabulary, text):
         assert all(vocabulary.decode(ids) == text for _, ids in got)
 
 
+def test_search_goes_on_where_parts_can_differ(vocabulary, monkeypatch):
+    searched = []
+    search = pieces.Pieces.search
+    monkeypatch.setattr(pieces.Pieces, "search", lambda self, part, n: searched.append(part) or search(self, part, n))
+    fresh = pieces.Pieces(vocabulary.table)
+    draw = random.Random(8)
+    words = ["".join(draw.choice("aehinorst") for _ in range(draw.randint(2, 12))) for _ in range(400)]
+    got = fresh.encode(" ".join(words), 4)
+    assert len(searched) <= 3 and len(got) == 4  # every other part is as in the best of the text
+    # by brute force the four best scores of what is done and one more word; whole numbers, so sums are exact
+    done = [0.0]
+    for w in words:
+        done = sorted((s + t for s in done for t, _ in all_cuts(vocabulary, "▁" + w)[:4]), reverse=True)[:4]
+    assert [s for s, _ in got] == done
+    assert [sum(vocabulary.table[i][1] for i in ids) for _, ids in got] == done
+    assert len({tuple(ids) for _, ids in got}) == 4 and all(vocabulary.decode(ids) == " ".join(words) for _, ids in got)
+
+
+@pytest.mark.parametrize("together, held", [(0, 96 << 20), (7, 40_000), (10**6, 0)])
+def test_parts_searched_together(vocabulary, monkeypatch, together, held):
+    monkeypatch.setattr(pieces, "_TOGETHER", together)
+    monkeypatch.setattr(pieces, "_CACHE_BYTES", held)
+    fresh = pieces.Pieces(vocabulary.table)
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("the in\né日 ") for _ in range(draw.randint(0, 8))) for _ in range(300)] + [None, "", " "]
+    for n in (1, 4):
+        for text, got in zip(texts, fresh.encode_all(texts, n), strict=True):
+            want = all_cuts(vocabulary, vocabulary.normalise(text or ""))
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:n]])
+            assert all((pytest.approx(s), tuple(ids)) in [(pytest.approx(a), b) for a, b in want] for s, ids in got)
+            assert all(vocabulary.decode(ids) == (text or "") for _, ids in got)
+        assert fresh.held <= held
+
+
 def test_encoding_round_trip(spark, documents):
     odd = [(1, None), (2, ""), (3, " "), (4, "▁x"), (5, "a\n\n  b\t\x00ü😀"), (5, "word " * 50_000)]
     df = documents.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
