@@ -7,8 +7,8 @@ to go for an A* search from the end back to the start, which therefore brings ou
 segmentations best first.
 
 No piece holds the space sign after another character, so a text falls apart before every run of
-space signs. Each part has a lattice of its own, built on that of a part with the same beginning.
-Its best segmentation, and how much worse the second best is, are kept for the next time the part occurs;
+space signs. Each part has a lattice of its own. Short parts are searched many at a time in numpy.
+The best segmentation, and how much worse the second best is, are kept for the next time the part occurs;
 the search goes on to the n best in those parts that can differ among the n best of the text. These are
 searched best first over the choices of its parts.
 """
@@ -19,8 +19,10 @@ import heapq
 import math
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain, count, repeat
+from functools import cached_property
+from itertools import chain, count, islice, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -31,11 +33,64 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _PART = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE_BYTES = 32 << 20  # of segmentations that a worker keeps for the next time a part occurs
+_CACHE_BYTES = 48 << 20  # of segmentations that a worker keeps for the next time a part occurs
 _TOGETHER = 60_000  # parts searched together
+_SHORT, _BLOCK = 32, 16_384  # characters of a part that is searched in numpy, and how many such parts at a time
 _loaded: dict[str, Pieces] = {}  # of this worker, by the vocabulary's place
 
 
+class _Ends:
+    """The ends of pieces as a tree, read from the last character to the first: node 0 is the empty end. Steps
+    lie in a table of open addressing, by node and character."""
+
+    def __init__(self, ends: dict[str, tuple], miss: float):
+        node = {end: i for i, end in enumerate(filter(None, ends), 1)}
+        chars = sorted({end[0] for end in node})
+        kind = {c: i for i, c in enumerate(chars, 1)}
+        self.kinds = np.zeros(ord(chars[-1]) + 2 if chars else 1, np.int64)  # of characters; 0: in no piece
+        self.kinds[[ord(c) for c in chars]] = range(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        pieces = [ends[end] for end in node]
+        # one node more stands for a character without a piece
+        self.score = np.array([-math.inf, *[p[0] if p else -math.inf for p in pieces], miss])
+        self.id = np.array([-1, *[p[1][0] if p else -1 for p in pieces], -1], np.int32)
+        self.missed = len(pieces) + 1
+        self.alone = np.zeros(self.width, bool)  # kinds of characters that are pieces
+        self.alone[[kind[end] for end, p in zip(node, pieces) if p and len(end) == 1]] = True
+        self.first = np.zeros(self.width, np.int64)  # the node of a last character
+        self.first[[kind[end] for end in node if len(end) == 1]] = [i for end, i in node.items() if len(end) == 1]
+        longer = {node[end[1:]] * self.width + kind[end[0]]: i for end, i in node.items() if len(end) > 1}
+        self.bits = max(4, (4 * len(longer)).bit_length())
+        keys, nodes = [-1] * (1 << self.bits), [0] * (1 << self.bits)
+        for slot, (key, i) in zip(self._slots(np.fromiter(longer, np.int64, len(longer))).tolist(), longer.items()):
+            while keys[slot] >= 0:
+                slot = (slot + 1) % len(keys)
+            keys[slot], nodes[slot] = key, i
+        self.keys, self.nodes = np.array(keys), np.array(nodes)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def kinds_of(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.kinds[np.minimum(codes, len(self.kinds) - 1)]
+
+    def step(self, nodes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The ends longer by a character in front, 0 where there is none."""
+        keys = nodes * self.width + kinds
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.nodes[slots], 0)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) % len(self.keys)
+            there = self.keys[slots[left]]
+            found = there == keys[left]
+            out[left[found]] = self.nodes[slots[left[found]]]
+            left = left[~found & (there >= 0)]
+        return out
+
+
 class Pieces:
     """Vocabulary and lattice search. ``table`` holds (piece, score, kind) by id, kind one of
     ``normal, byte, control, unknown``."""
@@ -52,10 +107,7 @@ class Pieces:
         self.miss = min((s for _, s in self.ids.values()), default=0.0) - 10.0
         whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = (lambda t: [t] if t else []) if whole else _PART.findall
-        # two generations of parts seen, each of at most half of the bytes
-        self.cache: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-        self.held = 0  # bytes in the cache, about
+        self._forget()
         # what an id stands for; bytes that are no character by themselves stand as lone surrogates
         says = {"control": "", "unknown": " ⁇ "}
         self.says = [says.get(kind, p) if kind != "byte" else bytes([int(p[3:5], 16)]).decode("ascii", "surrogateescape") for p, _, kind in table]
@@ -149,6 +201,71 @@ class Pieces:
             path.reverse()
             yield part, (best[-1] - near, best[-1], tuple(chain.from_iterable(path)))
 
+    @cached_property
+    def tree(self) -> _Ends:
+        return _Ends(self.ends, self.miss)
+
+    def firsts_together(self, parts: Iterable[str]) -> Iterator[tuple[list[str], tuple[np.ndarray, ...]]]:
+        """``firsts`` of parts in any order, some parts at a time: how much worse the second is, scores, numbers of
+        ids, ids. Short ones are searched in numpy, place by place over many parts, the others one by one."""
+        long: list[str] = []
+        short = sorted((p for p in parts if len(p) <= _SHORT or long.append(p)), key=len, reverse=True)
+        for i in range(0, len(short), _BLOCK):
+            block = short[i : i + _BLOCK]
+            yield block, self._block(block)
+        for part, (loss, score, ids) in self.firsts(sorted(long)):
+            yield [part], (np.array([loss]), np.array([score]), np.array([len(ids)]), np.array(ids, np.int32))
+
+    def _block(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """``firsts`` of parts, longest first."""
+        tree, n, longest = self.tree, len(parts), len(parts[0])
+        kinds, every = tree.kinds_of("".join(parts)), np.arange(n)
+        sizes = np.fromiter(map(len, parts), np.int64, n)
+        begins = np.cumsum(sizes) - sizes
+        best, second = np.zeros((longest + 1, n)), np.full((longest + 1, n), -math.inf)
+        start, via = np.zeros((longest + 1, n), np.int16), np.zeros((longest + 1, n), np.int32)
+        for b in range(1, longest + 1):
+            at = every[: np.searchsorted(-sizes, -b, "right")]  # parts that are so long
+            last = kinds[begins[at] + b - 1]
+            nodes = tree.first[last]
+            # a character without a piece, or one that is a piece
+            via[b, at] = np.where(tree.alone[last], nodes, tree.missed)
+            best[b, at] = best[b - 1, at] + tree.score[via[b, at]]
+            start[b, at] = b - 1
+            for a in range(b - 2, -1, -1):
+                some = np.flatnonzero(nodes)
+                at, nodes = at[some], nodes[some]
+                if not len(at):
+                    break
+                nodes = tree.step(nodes, kinds[begins[at] + a])
+                through, high = best[a, at] + tree.score[nodes], best[b, at]
+                second[b, at] = np.maximum(second[b, at], np.minimum(high, through))
+                better = np.flatnonzero(through > high)
+                won = at[better]
+                best[b, won], start[b, won], via[b, won] = through[better], a, nodes[better]
+        ids, gone, near = np.full((longest, n), -1, np.int32), np.zeros(n), np.full(n, -math.inf)
+        at, part, total = sizes, every, best[sizes, every]
+        for k in range(longest - 1, -1, -1):
+            near[part] = np.maximum(near[part], second[at, part] + gone[part])
+            through = via[at, part]
+            gone[part] += tree.score[through]
+            # for a miss its place: -2, -3, ... for the first, second, ... character
+            ids[k, part] = np.where(through == tree.missed, -1 - at, tree.id[through])
+            at = start[at, part]
+            part, at = part[at > 0], at[at > 0]
+            if not len(part):
+                break
+        ids = ids.T
+        owner, step = np.nonzero(ids != -1)
+        ids, times = ids[owner, step], np.ones(len(owner), np.int64)
+        missed = np.flatnonzero(ids < 0)
+        spelled = [self._spell(parts[i][-2 - x]) for i, x in zip(owner[missed].tolist(), ids[missed].tolist())]
+        times[missed] = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        at = np.repeat(ids < 0, times)
+        ids = np.repeat(ids, times)
+        ids[at] = list(chain.from_iterable(spelled))
+        return total - near, total, np.bincount(owner, times, n).astype(np.int64), ids
+
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a part as (score, ids), best first.
 
@@ -179,29 +296,48 @@ class Pieces:
             out.append((-value, tuple(found)))
         return out
 
-    def _known(self, parts: set[str]) -> dict[str, tuple]:
-        """``firsts`` of all parts, kept for the next time the part occurs."""
-        known = {p: self.cache[p] for p in parts & self.cache.keys()}
-        known |= {p: self.older[p] for p in parts & self.older.keys()}
-        for part, found in self.firsts(sorted(parts - known.keys())):
-            known[part] = found
-            # sizes of Python objects: what stands around a part and its segmentation
-            size = 300 + 4 * len(part) + 8 * len(found[2])
-            if size < _CACHE_BYTES // 64:
-                if self.held + size > _CACHE_BYTES // 2:
-                    self.older, self.cache, self.held = self.cache, {}, 0
-                self.cache[part] = found
-                self.held += size
-        return known
-
-    def _joined(self, parts: list[str], known: dict[str, tuple], deep: dict[str, list], n: int) -> list[tuple[float, array]]:
-        """The ``n`` best segmentations of a text from those of its parts."""
-        losses, scores, each = zip(*map(known.__getitem__, parts)) if parts else ((), (), ())
-        best = array("i", chain.from_iterable(each))
-        total = math.fsum(scores)
+    def _rows(self, group: list[list[str]]) -> list[np.ndarray]:
+        """The rows of the parts of some texts in the table, which gets the ``firsts`` of new parts."""
+        # after an error numbers may lack their rows
+        if self.held > _CACHE_BYTES or len(self.number) != len(self.columns[0]):
+            self._forget()
+        before = len(self.number)
+        rows = [np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)) for parts in group]
+        new = list(islice(self.number, before, None))
+        losses, scores, begins, sizes = (np.zeros(len(new), column.dtype) for column in self.columns)
+        every, end = [self.every_id], len(self.every_id)
+        for some, (loss, score, size, ids) in self.firsts_together(new):
+            at = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some)) - before
+            losses[at], scores[at], begins[at], sizes[at] = loss, score, end + np.cumsum(size) - size, size
+            every.append(ids)
+            end += len(ids)
+        if new:
+            self.every_id = np.concatenate(every)
+            self.columns = tuple(np.concatenate(x) for x in zip(self.columns, (losses, scores, begins, sizes)))
+            # sizes of Python objects: what stands around a part and its row
+            self.chars += sum(map(len, new))
+            self.held = 240 * len(self.number) + 4 * (self.chars + len(self.every_id))
+        return rows
+
+    def _forget(self) -> None:
+        """Empty the table: rows of parts, the columns how much worse the second segmentation is, score, place of
+        the first id and number of ids, and the ids."""
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.columns = (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.every_id = np.zeros(0, np.int32)
+        self.chars, self.held = 0, 0  # characters of the parts; bytes of all, about
+
+    def _joined(self, parts: list[str], rows: np.ndarray, deep: dict[str, list], n: int) -> list[tuple[float, array]]:
+        """The ``n`` best segmentations of a text from those of its parts, which the table holds."""
+        losses, scores, begins, sizes = (column[rows] for column in self.columns)
+        ends = np.cumsum(sizes)
+        best = array("i")
+        best.frombytes(self.every_id[np.repeat(begins - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes())
+        total = math.fsum(scores.tolist())
         # only the n - 1 parts with the smallest losses can differ in the n best
-        at = sorted(i for loss, i in heapq.nsmallest(n - 1, zip(losses, count())) if loss < math.inf)
-        starts = list(accumulate(map(len, each[: at[-1]]), initial=0)) if at else []
+        at = np.argsort(losses, kind="stable")[: n - 1]
+        at = sorted(at[losses[at] < math.inf].tolist())
+        starts, sizes = (ends - sizes)[at].tolist(), sizes[at].tolist()
         for i in at:
             if parts[i] not in deep:
                 deep[parts[i]] = self.search(parts[i], n)
@@ -211,11 +347,11 @@ class Pieces:
         while heap and len(out) < n:
             loss, pick = heapq.heappop(heap)
             ids, done = array("i"), 0
-            for i, k in zip(at, pick):
+            for i, k, begin, size in zip(at, pick, starts, sizes):
                 if k:
-                    ids += best[done : starts[i]]
+                    ids += best[done:begin]
                     ids.extend(choices[i][k][1])
-                    done = starts[i] + len(each[i])
+                    done = begin + size
             ids += best[done:]
             out.append((total - loss, ids))
             for j, i in enumerate(at):
@@ -235,9 +371,11 @@ class Pieces:
                 group.append(self.cut(self.normalise(text or "")))
                 size += len(group[-1])
             if last or size > _TOGETHER:
-                known, deep = self._known(set(chain.from_iterable(group))), {}
-                for parts in group:
-                    yield self._joined(parts, known, deep, n)
+                deep: dict[str, list] = {}
+                for parts, rows in zip(group, self._rows(group)):
+                    yield self._joined(parts, rows, deep, n)
+                if self.held > _CACHE_BYTES:
+                    self._forget()
                 group, size = [], 0
 
     def scores(self, text: str | None, n: int) -> tuple[list[float], list[int]]:

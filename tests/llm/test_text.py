@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -136,6 +137,24 @@ def test_parts_searched_together(vocabulary, monkeypatch, together, held):
         assert fresh.held <= held
 
 
+def test_short_parts_are_searched_in_blocks(vocabulary, monkeypatch):
+    draw = random.Random(10)
+    few = [("".join(draw.choice("ab▁") for _ in range(draw.randint(1, 4))), float(-draw.randint(0, 3)), "normal") for _ in range(12)]
+    for table, letters in ((vocabulary.table, "the inor▁é日😀\x00"), ([*few, ("<unk>", 0.0, "unknown")], "abc▁"), ([], "ab")):
+        fresh = pieces.Pieces(table)
+        parts = {"".join(draw.choice(letters) for _ in range(draw.randint(1, 40))) for _ in range(500)} - {""}
+        want, got = dict(fresh.firsts(sorted(parts))), {}
+        for some, (losses, scores, sizes, ids) in fresh.firsts_together(parts):
+            cuts = np.split(ids, np.cumsum(sizes)[:-1])
+            got |= {p: (a, b, tuple(c)) for p, a, b, c in zip(some, losses.tolist(), scores.tolist(), (c.tolist() for c in cuts), strict=True)}
+        assert got == want
+    alone = []
+    firsts = pieces.Pieces.firsts
+    monkeypatch.setattr(pieces.Pieces, "firsts", lambda self, parts: alone.extend(parts) or firsts(self, alone[:]))
+    list(pieces.Pieces(vocabulary.table).encode_all(["the short words, é日", "x" * 50], 4))
+    assert alone == ["▁" + "x" * 50]
+
+
 def test_encoding_round_trip(spark, documents):
     odd = [(1, None), (2, ""), (3, " "), (4, "▁x"), (5, "a\n\n  b\t\x00ü😀"), (5, "word " * 50_000)]
     df = documents.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
