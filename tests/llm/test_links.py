@@ -171,3 +171,36 @@ def test_clusters_in_large_bands(spark):
     docs = [(2 * i + j, template + f[:-1] + end) for i, f in enumerate(fillings) for j, end in enumerate("01")]
     rows = lines.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
     assert {r.doc_id: r.class_key for r in rows} == {k: k - k % 2 for k, _ in docs}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_near_copies_meet_where_they_differ(spark, similarity):
+    """Links between components of a block are found from a few of the pairs of its lines."""
+    draw = random.Random(12)
+    source = list(range(200))
+    sets = {}
+    for k in range(160):
+        changed = draw.sample(source, draw.randint(0, 45))
+        sets[k] = sorted(set(source) - set(changed) | {1000 * (k + 1) + i if draw.random() < 0.8 else 500 + i for i in changed})
+    # components as they may stand before: some similar lines linked already
+    alike = lambda a, b: len(set(a) & set(b)) >= similarity * len(set(a) | set(b))
+    links = {(x, y) for x in sets for y in sets if x < y and alike(sets[x], sets[y])}
+    root = {k: k for k in sets}
+    for x, y in sorted(draw.sample(sorted(links), len(links) // 40)):
+        low, high = sorted((root[x], root[y]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    rows = [(k, root[k], draw.randint(1, 12), root[0], sets[k], len(sets[k])) for k in sets]
+    frame = spark.createDataFrame(rows, "k1 long, root long, bands long, block long, set array<long>, n int")
+    met = {tuple(r) for r in lines._differing_pairs(frame, similarity).collect()}
+    assert all(x < y and root[x] != root[y] for x, y in met)
+
+    def joined(pairs):
+        of = dict(root)
+        for x, y in pairs:
+            low, high = sorted((of[x], of[y]))
+            of = {k: low if r == high else r for k, r in of.items()}
+        return of
+
+    assert joined(p for p in met if p in links) == joined(links)
+    if similarity == 0.8:  # at 0.6 most of the pairs are links
+        assert len(met) < sum(root[x] != root[y] for x in sets for y in sets if x < y) / 2
