@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.llm import lines, simhash
 from phenogrid.llm.components import components
+from phenogrid.plans import staging
 
 
 def union_find(nodes, pairs):
@@ -204,3 +206,14 @@ def test_near_copies_meet_where_they_differ(spark, similarity):
     assert joined(p for p in met if p in links) == joined(links)
     if similarity == 0.8:  # at 0.6 most of the pairs are links
         assert len(met) < sum(root[x] != root[y] for x in sets for y in sets if x < y) / 2
+
+
+def test_line_dedup_leaves_two_tables(spark):
+    docs = spark.createDataFrame(line_fixture(), "doc_id long, text string")
+    staging.stage(spark.range(1))
+    folder = Path(staging.scratch_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = lines.line_classes(docs, "doc_id", "text")
+    assert len(set(folder.iterdir()) - before) == 2 and found.count()  # places and classes, which the result reads
+    lines.drop_repeats(docs, "doc_id", "text")
+    assert len(set(folder.iterdir()) - before) == 3

@@ -102,6 +102,39 @@ def test_staged_table_is_a_scan(spark):
     assert all(folder.removeprefix("file:") in f for f in out.inputFiles()) and out.count() == 5
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    counts = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n"))
+    made = staging.stage(counts.join(counts.withColumnRenamed("n", "m"), "k"))
+    for _ in range(50):  # executors remove them in the background
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and made.count() == 700
+    assert spark.conf.get(staging._CLEANUP, None) is None  # set for the job alone
+
+
+def test_tables_on_the_way_are_removed(spark):
+    def make():
+        inner = staging.stage_alone(lambda: staging.stage(spark.range(3)).union(staging.stage(spark.range(4))))
+        return staging.stage(inner.where("id > 0"))
+
+    folder = Path(staging.scratch_folder(spark).removeprefix("file:"))
+    staging.stage(spark.range(1))
+    before = set(folder.iterdir())
+    made = staging.stage_alone(make)
+    assert len(set(folder.iterdir()) - before) == 1 and made.count() == 5
+    with pytest.raises(ZeroDivisionError):
+        staging.stage_alone(lambda: staging.stage(spark.range(3)).where(1 // 0))
+    assert len(set(folder.iterdir()) - before) == 1 and not staging._scopes.open
+
+
 @pytest.mark.parametrize("stop", [True, False])
 def test_nothing_stays_after_a_script(tmp_path, stop):
     script = f"""
